@@ -90,13 +90,13 @@ def _contains_any(v: Column, chars: str) -> Column:
     return cond
 
 
-def infer_kv_value(raw) -> Column:
+def infer_kv_value(raw, stripped: bool = False) -> Column:
     """Typed value of a key-value (or JSON string) value (rule N5/N6).
 
     trim; '' stays ''; null words -> null; true/false -> boolean; ISO dates stay
     text; integer when there is no '.', 'e', 'E'; then float; else text.
     """
-    v = py_strip(raw)
+    v = _c(raw) if stripped else py_strip(raw)
     lv = F.lower(v)
     return (
         F.when(_c(raw).isNull(), typed("null", F.lit("null")))
@@ -111,9 +111,9 @@ def infer_kv_value(raw) -> Column:
     )
 
 
-def infer_csv_value(raw) -> Column:
+def infer_csv_value(raw, stripped: bool = False) -> Column:
     """Typed value of a CSV cell (rule N7): ``1,000`` becomes 1.0, yes/no are booleans."""
-    v = py_strip(raw)
+    v = _c(raw) if stripped else py_strip(raw)
     lv = F.lower(v)
     comma_as_dot = F.regexp_replace(v, ",", ".")
     one_dot = (F.length(comma_as_dot) - F.length(F.regexp_replace(comma_as_dot, r"\.", ""))) == 1
@@ -127,9 +127,9 @@ def infer_csv_value(raw) -> Column:
     )
 
 
-def infer_html_value(raw) -> Column:
+def infer_html_value(raw, stripped: bool = False) -> Column:
     """Typed value of an HTML cell (rule N8): commas dropped before the float test."""
-    v = py_strip(raw)
+    v = _c(raw) if stripped else py_strip(raw)
     lv = F.lower(v)
     no_commas = F.regexp_replace(v, ",", "")
     return (

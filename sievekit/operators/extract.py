@@ -33,6 +33,7 @@ CODE_FENCE = "```"
 LINE_SPLIT = r"(?<=\r\n|[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]|\r(?!\n))"
 
 FIELD_T = "array<struct<name:string,jtype:string,token:string>>"
+PATH_T = "array<struct<path:string,jtype:string,token:string>>"
 ENTRY_T = "array<struct<k:string,v:string>>"
 FRAGMENT_T = (
     "struct<source_type:string,ordinal:int,offset_start:int,offset_end:int,raw:string,"
@@ -40,14 +41,15 @@ FRAGMENT_T = (
     f"block_type:string,entries:{ENTRY_T},rows:array<array<string>>,data:string,fields:{FIELD_T}>"
 )
 
-_JSON_UDF_T = f"array<struct<start:int,end:int,raw:string,ok:boolean,data:string,fields:{FIELD_T}>>"
+_JSON_UDF_T = f"array<struct<start:int,end:int,raw:string,ok:boolean,data:string,fields:{FIELD_T},paths:{PATH_T}>>"
 _CSV_UDF_T = (
     "array<struct<start:int,end:int,delimiter:string,headers:array<string>,"
     "rows:array<array<string>>,confidence:double>>"
 )
 _HTML_UDF_T = "array<struct<start:int,end:int,headers:array<string>,rows:array<array<string>>>>"
 _YAML_UDF_T = (
-    f"array<struct<start:int,end:int,raw:string,block_type:string,confidence:double,data:string,fields:{FIELD_T}>>"
+    "array<struct<start:int,end:int,raw:string,block_type:string,confidence:double,data:string,"
+    f"fields:{FIELD_T},paths:{PATH_T}>>"
 )
 
 
@@ -101,14 +103,18 @@ def _strip_crlf(x) -> Column:
 
 
 def kv_entries(raw) -> Column:
-    """Rule E7 + N3 order: block text -> entries, one per raw key (last value, first place)."""
+    """Rule E7: block text -> entries, one per raw key (last value, at its first place).
+
+    A single fold over the parsed lines, so each line is parsed once.
+    """
     parsed = F.filter(F.transform(F.split(raw, "\n"), kv_parse), lambda e: e.isNotNull())
-    firsts = F.filter(parsed, lambda e, i: ~F.exists(F.slice(parsed, 1, i), lambda p: p.k == e.k))
-    return F.transform(
-        firsts,
-        lambda e: F.struct(
-            e.k.alias("k"), F.element_at(F.filter(parsed, lambda p: p.k == e.k), -1).v.alias("v")
-        ),
+    return F.aggregate(
+        parsed,
+        F.array().cast(ENTRY_T),
+        lambda acc, e: F.when(
+            F.exists(acc, lambda a: a.k == e.k),
+            F.transform(acc, lambda a: F.when(a.k == e.k, e).otherwise(a)),
+        ).otherwise(F.array_append(acc, e)),
     )
 
 
@@ -181,7 +187,7 @@ def code_blocks(text) -> Column:
 
 
 def _frag(source_type, ordinal, start, end, raw, confidence, parse_error=None, headers=None, delimiter=None,
-          block_type=None, entries=None, rows=None, data=None, fields=None) -> Column:
+          block_type=None, entries=None, rows=None, data=None, fields=None, paths=None) -> Column:
     def lit_or(x, t):
         return F.lit(None).cast(t) if x is None else x.cast(t)
 
@@ -201,6 +207,7 @@ def _frag(source_type, ordinal, start, end, raw, confidence, parse_error=None, h
         lit_or(rows, "array<array<string>>").alias("rows"),
         lit_or(data, "string").alias("data"),
         lit_or(fields, FIELD_T).alias("fields"),
+        lit_or(paths, PATH_T).alias("paths"),
     )
 
 
@@ -233,7 +240,7 @@ def fragment_arrays(text: Column) -> dict[str, Column]:
         "json": F.transform(json_arr, lambda j, i: _frag(
             "json", i + 1, j.start, j.end, j.raw,
             F.when(j.ok, F.lit(JSON_CONFIDENCE)).otherwise(F.lit(JSON_ERROR_CONFIDENCE)),
-            parse_error=~j.ok, data=j.data, fields=j.fields)),
+            parse_error=~j.ok, data=j.data, fields=j.fields, paths=j.paths)),
         "kv": F.transform(kv_arr, lambda b, i: _frag(
             "kv", i + 1, b.start, b.end, _strip_crlf(F.array_join(b.lines, "")), KV_CONFIDENCE,
             entries=kv_entries(_strip_crlf(F.array_join(b.lines, ""))))),
@@ -245,7 +252,7 @@ def fragment_arrays(text: Column) -> dict[str, Column]:
             headers=c.headers, delimiter=c.delimiter, rows=c.rows)),
         "yaml_block": F.transform(F.coalesce(yaml_arr, F.array().cast(_YAML_UDF_T)), lambda y, i: _frag(
             "yaml_block", i + 1, y.start, y.end, y.raw, y.confidence, block_type=y.block_type,
-            data=y.data, fields=y.fields)),
+            data=y.data, fields=y.fields, paths=y.paths)),
     }
 
 
@@ -255,26 +262,30 @@ _ID_PREFIX = {"json": "json_", "kv": "kv_", "html_table": "html_table_", "csv_bl
 def extract_fragments(documents: DataFrame, text_col: str = "text", keep_cols=("doc_id", "source_id")) -> DataFrame:
     """``documents`` -> one row per fragment (rule E18 order columns included).
 
-    Output columns: keep_cols, source_type, type_rank, ordinal, fragment_id,
-    offset_start, offset_end, raw, confidence, parse_error, headers, delimiter,
-    block_type, entries, rows, data, fields, type_first (offset of the first
-    fragment of that type in the document; records are grouped by type in
-    first-seen order, rule N1).
+    Output columns: keep_cols, source_type, type_rank, type_first, ordinal,
+    fragment_id, offset_start, offset_end, raw, confidence, parse_error,
+    headers, delimiter, block_type, entries, rows, data, fields.  ``type_first``
+    is the offset of the first fragment of that type in the document: records
+    are grouped by type in first-seen order (rule N1).
+
+    Staged projections keep each expensive array in its own column, so no
+    scanner or fold is evaluated twice.
     """
+    keep = list(keep_cols)
     text = F.col(text_col)
+    scanned = documents.select(*keep, text, *scan_columns(text))
     arrays = fragment_arrays(text)
-    firsts = {t: F.array_min(F.transform(arrays[t], lambda f: f.offset_start)) for t in SOURCE_TYPES}
-    def tag(rank: int, t: str) -> Column:
-        return F.transform(
-            arrays[t], lambda f: F.struct(F.lit(rank).alias("type_rank"), firsts[t].alias("type_first"), f.alias("f"))
-        )
+    typed = scanned.select(*keep, *[arrays[t].alias(f"_a{r}") for r, t in enumerate(SOURCE_TYPES)])
+
+    def tag(rank: int) -> Column:
+        arr = F.col(f"_a{rank}")
+        first = F.array_min(F.transform(arr, lambda f: f.offset_start))
+        return F.transform(arr, lambda f: F.struct(F.lit(rank).alias("type_rank"), first.alias("type_first"), f.alias("f")))
 
-    ranked = [tag(r, t) for r, t in enumerate(SOURCE_TYPES)]
-    scanned = documents.select(*keep_cols, text, *scan_columns(text))
-    exploded = scanned.select(*keep_cols, F.explode(F.concat(*ranked)).alias("x"))
+    exploded = typed.select(*keep, F.explode(F.concat(*[tag(r) for r in range(len(SOURCE_TYPES))])).alias("x"))
     prefix = F.create_map(*[z for t, p in _ID_PREFIX.items() for z in (F.lit(t), F.lit(p))])
     return exploded.select(
-        *keep_cols,
+        *keep,
         F.col("x.f.source_type").alias("source_type"),
         F.col("x.type_rank").alias("type_rank"),
         F.col("x.type_first").alias("type_first"),
@@ -282,7 +293,7 @@ def extract_fragments(documents: DataFrame, text_col: str = "text", keep_cols=("
         F.concat(prefix[F.col("x.f.source_type")], F.col("x.f.ordinal").cast("string")).alias("fragment_id"),
         *[F.col(f"x.f.{c}").alias(c) for c in (
             "offset_start", "offset_end", "raw", "confidence", "parse_error", "headers", "delimiter",
-            "block_type", "entries", "rows", "data", "fields")],
+            "block_type", "entries", "rows", "data", "fields", "paths")],
     )
 
 

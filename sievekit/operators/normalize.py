@@ -18,6 +18,7 @@ from sievekit.functions.typing import (
     infer_html_value,
     infer_kv_value,
     json_string_token,
+    py_strip,
     standardize_kv_key,
     standardize_table_key,
 )
@@ -25,10 +26,19 @@ from sievekit.functions.typing import (
 FIELD_T = "array<struct<name:string,jtype:string,token:string>>"
 
 
-def dedupe_last(arr: Column) -> Column:
-    """Keep one entry per ``name``: the last value, at the first position."""
-    firsts = F.filter(arr, lambda e, i: ~F.exists(F.slice(arr, 1, i), lambda p: p["name"] == e["name"]))
-    return F.transform(firsts, lambda e: F.element_at(F.filter(arr, lambda p: p["name"] == e["name"]), -1))
+def dedupe_last(arr: Column, key: str = "name") -> Column:
+    """Keep one entry per ``key``: the last value, at the first position (a Python dict).
+
+    One fold over the input array, so the input is evaluated once.
+    """
+    return F.aggregate(
+        arr,
+        F.slice(arr, 1, 0),
+        lambda acc, e: F.when(
+            F.exists(acc, lambda a: a[key] == e[key]),
+            F.transform(acc, lambda a: F.when(a[key] == e[key], e).otherwise(a)),
+        ).otherwise(F.array_append(acc, e)),
+    )
 
 
 def _field(name: Column, typed_value: Column) -> Column:
@@ -42,10 +52,21 @@ def fields_to_json(fields) -> Column:
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 
+def typed_fields(pairs: Column, key_fn, infer_fn, key: str = "k") -> Column:
+    """Clean keys and type values of ``array<struct<k, v>>``.
+
+    Three transforms so every per-element expression is evaluated once
+    (lambda bodies get no common-subexpression elimination).
+    """
+    stripped = F.transform(pairs, lambda p: F.struct(key_fn(p[key]).alias("name"), py_strip(p["v"]).alias("v")))
+    inferred = F.transform(stripped, lambda p: F.struct(p["name"].alias("name"), infer_fn(p["v"], stripped=True).alias("t")))
+    return F.transform(inferred, lambda p: F.struct(
+        p["name"].alias("name"), p["t"]["jtype"].alias("jtype"), p["t"]["token"].alias("token")))
+
+
 def kv_fields(entries: Column) -> Column:
     """Rule N3 + N5 on the entries of one key-value block."""
-    typed = F.transform(entries, lambda e: _field(standardize_kv_key(e["k"]), infer_kv_value(e["v"])))
-    return dedupe_last(typed)
+    return dedupe_last(typed_fields(entries, standardize_kv_key, infer_kv_value))
 
 
 def _row_pairs(headers: Column, row: Column, strict_width: bool) -> Column:
@@ -67,8 +88,7 @@ def table_row_fields(headers: Column, row: Column, kind: str) -> Column:
     """Rule N4 + N7/N8 on one CSV or HTML row."""
     infer = infer_csv_value if kind == "csv_block" else infer_html_value
     pairs = dedupe_last(_row_pairs(headers, row, strict_width=(kind == "html_table")))
-    typed = F.transform(pairs, lambda p: _field(standardize_table_key(p["name"]), infer(p["v"])))
-    return dedupe_last(typed)
+    return dedupe_last(typed_fields(pairs, standardize_table_key, infer, key="name"))
 
 
 def json_error_fields(f: Column = None) -> Column:
@@ -92,22 +112,22 @@ def build_records(fragments: DataFrame, key_cols=("doc_id", "source_id")) -> Dat
     and HTML tables one per row.  ``ord`` orders records like the reference:
     by document, then by source type in first-seen order, then by place.
     """
-    tabular = fragments.filter(F.col("source_type").isin("csv_block", "html_table"))
-    rows = tabular.select("*", F.posexplode("rows").alias("row_index", "row"))
-    rows = rows.select(
-        *key_cols, "source_type", "type_rank", "type_first", "ordinal", "fragment_id", "offset_start",
-        "offset_end", "confidence", "headers", "delimiter", "block_type", "row_index",
-        F.when(F.col("source_type") == "csv_block", table_row_fields(F.col("headers"), F.col("row"), "csv_block"))
-        .otherwise(table_row_fields(F.col("headers"), F.col("row"), "html_table")).alias("fields"),
+    st = F.col("source_type")
+    single_fields = (
+        F.when(st == "kv", kv_fields(F.col("entries")))
+        .when((st == "json") & F.col("parse_error"), json_error_fields())
+        .otherwise(F.col("fields")).cast(FIELD_T)
     )
-    single = fragments.filter(~F.col("source_type").isin("csv_block", "html_table")).select(
+    per_row = F.when(st == "csv_block", F.transform("rows", lambda r: table_row_fields(F.col("headers"), r, "csv_block"))) \
+        .when(st == "html_table", F.transform("rows", lambda r: table_row_fields(F.col("headers"), r, "html_table"))) \
+        .otherwise(F.array(single_fields))
+    tabular = st.isin("csv_block", "html_table")
+    exploded = fragments.select(
         *key_cols, "source_type", "type_rank", "type_first", "ordinal", "fragment_id", "offset_start",
-        "offset_end", "confidence", "headers", "delimiter", "block_type", F.lit(None).cast("int").alias("row_index"),
-        F.when(F.col("source_type") == "kv", kv_fields(F.col("entries")))
-        .when((F.col("source_type") == "json") & F.col("parse_error"), json_error_fields())
-        .otherwise(F.col("fields")).cast(FIELD_T).alias("fields"),
-    )
-    records = single.unionByName(rows).filter(F.size("fields") > 0)
+        "offset_end", "confidence", "headers", "delimiter", "block_type", "paths",
+        F.posexplode(per_row).alias("_i", "fields"),
+    ).withColumn("row_index", F.when(tabular, F.col("_i")).cast("int")).drop("_i")
+    records = exploded.filter(F.size("fields") > 0)
     return records.select(
         *key_cols,
         F.concat_ws(":", F.col(key_cols[0]).cast("string"), "fragment_id",
@@ -118,6 +138,10 @@ def build_records(fragments: DataFrame, key_cols=("doc_id", "source_id")) -> Dat
         F.struct("offset_start", "offset_end", "headers", "delimiter", "block_type").alias("provenance"),
         "fields",
         fields_to_json(F.col("fields")).alias("data"),
+        # nested scalar paths: from the scanner for JSON/YAML, the flat fields otherwise
+        F.when(F.col("source_type").isin("json", "yaml_block") & F.col("paths").isNotNull(), F.col("paths"))
+        .otherwise(F.transform("fields", lambda f: F.struct(f["name"].alias("path"), f["jtype"].alias("jtype"),
+                                                             f["token"].alias("token")))).alias("paths"),
     )
 
 

@@ -13,7 +13,7 @@ def records_of(documents: DataFrame, source_type: str | None = None) -> DataFram
     recs = build_records(extract_fragments(documents))
     if source_type is not None:
         recs = recs.filter(F.col("source_type") == source_type)
-    return recs
+    return recs.withColumn("_v", F.parse_json(F.col("data")))
 
 
 def path_of(name: str) -> str:
@@ -21,9 +21,9 @@ def path_of(name: str) -> str:
     return f"$['{safe}']"
 
 
-def fv(name: str, spark_type: str, data: str = "data") -> Column:
-    """Typed value of a top-level field from the record's JSON text."""
-    return F.try_variant_get(F.parse_json(F.col(data)), path_of(name), spark_type)
+def fv(name: str, spark_type: str, variant: str = "_v") -> Column:
+    """Typed value of a top-level field from the record's VARIANT (``_v``)."""
+    return F.try_variant_get(F.col(variant), path_of(name), spark_type)
 
 
 def field_type(name: str, fields: str = "fields") -> Column:

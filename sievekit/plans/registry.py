@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievekit.plans import catalog_extract
+from sievekit.plans import catalog_extract, catalog_profile
 
-CATALOGS = [catalog_extract.CATALOG]
+CATALOGS = [catalog_extract.CATALOG, catalog_profile.CATALOG]
 
 
 def all_entries() -> dict:

@@ -205,3 +205,50 @@ def pages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = cv.select("conv_id", "turn", turn_text.alias("t")).groupBy("conv_id").agg(
         F.expr("listagg(t, chr(12)) within group (order by turn)").alias("text"))
     return grouped.select(F.col("conv_id").alias("doc_id"), F.lit("conversations").alias("source_id"), "text")
+
+
+def typed_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-TYPES: one key-value document per line item; ``qty`` changes its text form.
+
+    By (l_orderkey + l_linenumber) % 5: 0 integer text, 1 decimal text, 2 'n/a'
+    (null), 3 a word (string), 4 'true' (boolean).  Source = l_returnflag.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    form = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
+    qty = (F.when(form == 0, F.col("l_quantity").cast("bigint").cast("string"))
+           .when(form == 1, (F.col("l_quantity") + F.lit(0.5)).cast("string"))
+           .when(form == 2, F.lit("n/a")).when(form == 3, F.lit("several")).otherwise(F.lit("true")))
+    text = F.concat(F.lit("Line item\nqty: "), qty, F.lit("\nflag: "), F.col("l_linestatus"), F.lit("\n"))
+    doc_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return li.select(doc_id.alias("doc_id"), F.col("l_returnflag").alias("source_id"), text.alias("text"))
+
+
+def optional_field_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON per order with an optional field (absent when key % 3 = 0) and a
+    nullable one (explicit null when key % 4 = 0).  Source = o_orderstatus."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": '), _num("o_totalprice"),
+        F.lit(', "prio": "'), F.col("o_orderpriority"), F.lit('"'),
+        F.when(k % 3 != 0, F.concat(F.lit(', "opt": '), _num("o_custkey"))).otherwise(F.lit("")),
+        F.lit(', "maybe": '), F.when(k % 4 == 0, F.lit("null")).otherwise(F.concat(F.lit('"v'), _num("o_orderkey"), F.lit('"'))),
+        F.lit("}"),
+    )
+    return o.select(k.alias("doc_id"), F.col("o_orderstatus").alias("source_id"), text.alias("text"))
+
+
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON per order with a nested object, a list of line objects and a list of tags."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    line = F.concat(F.lit('{"n": '), _num("l_linenumber"), F.lit(', "qty": '), _num("l_quantity"), F.lit("}"))
+    lines = li.select("l_orderkey", "l_linenumber", line.alias("j")).groupBy("l_orderkey").agg(
+        F.expr("listagg(j, ', ') within group (order by l_linenumber)").alias("lines"))
+    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
+    text = F.concat(
+        F.lit('Export:\n{"order": {"key": '), _num("o_orderkey"), F.lit(', "status": "'), F.col("o_orderstatus"),
+        F.lit('"}, "lines": ['), F.coalesce(F.col("lines"), F.lit("")), F.lit('], "tags": ["p", "'),
+        F.col("o_orderpriority"), F.lit('"]}\n'),
+    )
+    return j.select(F.col("o_orderkey").alias("doc_id"), F.lit("orders").alias("source_id"), text.alias("text"))
