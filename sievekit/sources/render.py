@@ -252,3 +252,30 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority"), F.lit('"]}\n'),
     )
     return j.select(F.col("o_orderkey").alias("doc_id"), F.lit("orders").alias("source_id"), text.alias("text"))
+
+
+def evolving_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON upload per order; a ``rush`` field exists from 1998 on.  Source = priority."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": '), _num("o_totalprice"),
+                    F.when(F.year("o_orderdate") >= 1998, F.lit(', "rush": true')).otherwise(F.lit("")), F.lit("}"))
+    return o.select(k.alias("doc_id"), F.col("o_orderpriority").alias("source_id"), text.alias("text"))
+
+
+def two_batch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-EVOL: batch 1 (before 1998) and batch 2 (from 1998) of order documents.
+
+    Batch 2 adds ``rush``, drops ``old_code``, turns ``price`` into text and
+    makes ``opt`` optional.  Column ``version`` carries the batch number.
+    """
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    v2 = F.year("o_orderdate") >= 1998
+    v1_text = F.concat(F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": '), _num("o_totalprice"),
+                       F.lit(', "opt": '), _num("o_custkey"), F.lit(', "old_code": "c'), _num("o_orderkey"), F.lit('"}'))
+    v2_text = F.concat(F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": "USD '), _num("o_totalprice"), F.lit('"'),
+                       F.when(k % 2 == 0, F.concat(F.lit(', "opt": '), _num("o_custkey"))).otherwise(F.lit("")),
+                       F.lit(', "rush": true}'))
+    return o.select(k.alias("doc_id"), F.col("o_orderpriority").alias("source_id"),
+                    F.when(v2, 2).otherwise(1).alias("version"), F.when(v2, v2_text).otherwise(v1_text).alias("text"))
