@@ -279,3 +279,18 @@ def two_batch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(', "rush": true}'))
     return o.select(k.alias("doc_id"), F.col("o_orderpriority").alias("source_id"),
                     F.when(v2, 2).otherwise(1).alias("version"), F.when(v2, v2_text).otherwise(v1_text).alias("text"))
+
+
+def two_family_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two record families for table grouping: account blocks (even keys; every
+    key % 10 = 4 lacks ``nation``) and ticket blocks (odd keys)."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    account = F.concat(F.lit("Account\nname: "), F.col("c_name"), F.lit("\nsegment: "), F.col("c_mktsegment"),
+                       F.lit("\nbalance: "), _num("c_acctbal"),
+                       F.when(k % 10 != 4, F.concat(F.lit("\nnation: "), _num("c_nationkey"))).otherwise(F.lit("")),
+                       F.lit("\nEnd\n"))
+    ticket = F.concat(F.lit("Ticket\nticket: "), _num("c_custkey"), F.lit("\ntier: tier-"), F.lower(F.col("c_mktsegment")),
+                      F.lit("\nminutes: "), (F.col("c_nationkey") * 3).cast("string"), F.lit("\nEnd\n"))
+    return c.select(k.alias("doc_id"), F.lit("customers").alias("source_id"), F.lit(1).alias("version"),
+                    F.when(k % 2 == 0, account).otherwise(ticket).alias("text"))
