@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievekit.plans import catalog_extract, catalog_group, catalog_profile, catalog_version
+from sievekit.plans import catalog_extract, catalog_group, catalog_profile, catalog_query, catalog_version
 
-CATALOGS = [catalog_extract.CATALOG, catalog_profile.CATALOG, catalog_version.CATALOG, catalog_group.CATALOG]
+CATALOGS = [catalog_extract.CATALOG, catalog_profile.CATALOG, catalog_version.CATALOG, catalog_group.CATALOG, catalog_query.CATALOG]
 
 
 def all_entries() -> dict:
