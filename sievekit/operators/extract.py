@@ -215,14 +215,36 @@ def _masked(text: Column, cond: Column) -> Column:
     return F.when(cond, text)
 
 
+_SCAN_ALL_T = f"struct<json:{_JSON_UDF_T},csv:{_CSV_UDF_T},html:{_HTML_UDF_T},yaml:{_YAML_UDF_T}>"
+
+
+def _scan_all(text: str) -> dict:
+    """All four scanners over one text; each skips texts that cannot hold its fragments."""
+    return {
+        "json": scanners.json_fragments(text) if "{" in text else [],
+        "csv": scanners.csv_blocks(text),
+        "html": scanners.html_tables(text),
+        "yaml": scanners.yaml_blocks(text),
+    }
+
+
+def _scan_all_series(texts: pd.Series) -> pd.DataFrame:
+    empty = {"json": [], "csv": [], "html": [], "yaml": []}
+    return pd.DataFrame([_scan_all(t) if isinstance(t, str) else empty for t in texts],
+                        columns=["json", "csv", "html", "yaml"])
+
+
 def scan_columns(text: Column) -> list[Column]:
-    """The four Python scanner outputs, computed in one projection (one Arrow round trip)."""
-    return [
-        json_scan(_masked(text, F.instr(text, "{") > 0)).alias("_json"),
-        csv_scan(_masked(text, (F.instr(text, ",") > 0) | (F.instr(text, "\t") > 0))).alias("_csv"),
-        html_scan(_masked(text, F.instr(text, "<table") > 0)).alias("_html"),
-        yaml_scan(_masked(text, F.instr(text, ":") > 0)).alias("_yaml"),
-    ]
+    """The four Python scanners in one Arrow round trip (the text crosses once).
+
+    Only texts that can hold some fragment (a '{', ',', TAB, '<table' or ':')
+    are sent; the others cross as NULL.
+    """
+    if "all" not in _UDF_CACHE:
+        _UDF_CACHE["all"] = F.pandas_udf(_scan_all_series, _SCAN_ALL_T)
+    can_hold = (F.instr(text, "{") > 0) | (F.instr(text, ",") > 0) | (F.instr(text, "\t") > 0) | (F.instr(text, ":") > 0)
+    can_hold = can_hold | (F.instr(text, "<table") > 0)
+    return [_UDF_CACHE["all"](F.when(can_hold, text)).alias("_scan")]
 
 
 def fragment_arrays(text: Column) -> dict[str, Column]:
@@ -230,12 +252,12 @@ def fragment_arrays(text: Column) -> dict[str, Column]:
 
     Expects the columns made by ``scan_columns`` next to ``text``.
     """
-    json_arr = F.coalesce(F.col("_json"), F.array().cast(_JSON_UDF_T))
+    json_arr = F.coalesce(F.col("_scan.json"), F.array().cast(_JSON_UDF_T))
     regions = F.transform(json_arr, lambda j: F.struct(j.start.alias("start"), j.end.alias("end")))
     kv_arr = F.when(F.instr(text, ":") > 0, kv_blocks(text, regions)).otherwise(
         F.array().cast("array<struct<start:int,end:int,lines:array<string>>>")
     )
-    csv_arr, html_arr, yaml_arr = F.col("_csv"), F.col("_html"), F.col("_yaml")
+    csv_arr, html_arr, yaml_arr = F.col("_scan.csv"), F.col("_scan.html"), F.col("_scan.yaml")
     return {
         "json": F.transform(json_arr, lambda j, i: _frag(
             "json", i + 1, j.start, j.end, j.raw,
