@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievekit.llm.common import documents
+from sievekit.llm.packing import pack
 from sievekit.llm.suffix_dedup import suffix_dedup
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 400-byte strings, as lengths and a digest of what is left."""
-    return suffix_dedup(documents(spark, sf_dir)).drop("kept")
+    got = suffix_dedup(documents(spark, sf_dir))
+    return got.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def op8_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 ids, with a checksum of each piece's ids."""
+    got = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 QUERIES = {
     "op7_suffix_dedup": (op7_suffix_dedup, None),
+    "op8_sos_packing": (op8_sos_packing, None),
 }

@@ -14,7 +14,6 @@ Null text is empty; repeated rows of a document are copies of each other. Only d
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -234,7 +233,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row of docs (doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
 
@@ -339,13 +338,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
                     kept.append(raw[at:lo])
                     at, n, removed = hi, n + 1, removed + hi - lo
                 rest = b"".join([*kept, raw[at:]])
-                out.append((i, len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), CLEAN)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((i, len(raw), removed, n, rest))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), CLEAN)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     both = texts.join(spans, texts.doc_id.eqNullSafe(spans.sid) & (texts.th == spans.sth), "left")
-    return both.select(texts.doc_id, "z", "spans").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.select(texts.doc_id, "z", "spans").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 CUT_NAMES = ["doc_id", "th", "pos", "h", "hot", "lc", "rc"]
-CLEAN = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+CLEAN = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
