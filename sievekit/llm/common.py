@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Columns of the documents table; filtering stages of the pipeline return exactly these.
@@ -66,6 +68,22 @@ def per_batch(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schem
     return run
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, z) of docs (doc_id, text): a 64-bit hash of the text and its compressed bytes, for shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([text_hash(r) for r in raw], pa.int64()), pa.array([z.compress(r) for r in raw], pa.binary())], names=["doc_id", "th", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, th long, z binary")
+
+
+def text_hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[list[dict]], bytes]) -> bytes:
     """Fits on a sample whose size the caller has bounded, in one task; the driver gets only the model's bytes."""
 

@@ -5,11 +5,38 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievekit.llm.common import documents
+from sievekit.llm import quality_classifier, toxicity
+from sievekit.llm.common import documents, labels
+from sievekit.llm.minhash import near_duplicates
 from sievekit.llm.packing import pack
+from sievekit.llm.quality_rules import quality_rules
 from sievekit.llm.suffix_dedup import suffix_dedup
 
 
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings from the labels: 0 poor, 1 good but toxic, 2 good."""
+    return labels(spark, sf_dir).select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of at least grade 1 of every document."""
+    docs = documents(spark, sf_dir)
+    blob = quality_classifier.train(docs, grades(spark, sf_dir), levels=3)
+    got = quality_classifier.quality_scores(docs, blob, ["doc_id"])
+    return got.withColumn("kept", F.col("tail_probability") >= quality_classifier.LEAST_TAIL)
+
+
+def op4_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.train(docs, labels(spark, sf_dir)))
+
+
+def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, perplexity and verdict of every document."""
+    return quality_rules(documents(spark, sf_dir), ["doc_id"])
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 400-byte strings, as lengths and a digest of what is left."""
     got = suffix_dedup(documents(spark, sf_dir))
@@ -22,7 +49,16 @@ def op8_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least doc_id of its near-duplicates."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_ordinal_quality": (op1_ordinal_quality, None),
+    "op4_subsequence_toxicity": (op4_subsequence_toxicity, None),
+    "op6_kneser_ney_rules": (op6_kneser_ney_rules, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_sos_packing": (op8_sos_packing, None),
+    "op10_bbit_minhash": (op10_bbit_minhash, None),
 }

@@ -23,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from sievekit.llm.common import POWERS, mixed, prefix_hashes, stored
+from sievekit.llm.common import POWERS, mixed, packed_texts, prefix_hashes, stored, text_hash
 
 LENGTH = 400
 K = 32
@@ -224,14 +224,6 @@ def repeated_in_groups(rows: list[tuple[int, bytes, bytes]], length: int = LENGT
     return [got[c] for c in of]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, for the shuffles."""
-    z = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        raw = [(t or "").encode() for t in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array([xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([z.compress(r) for r in raw], pa.binary())], names=["doc_id", "th", "z"])
-
-
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -241,7 +233,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (t or "").encode()
-                th = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                th = text_hash(raw)
                 for pos, lo, hi, h in anchors(raw, length, k):
                     yield pa.record_batch([pa.array([i] * len(pos), pa.int64()), pa.array(np.full(len(pos), th)), pa.array(pos), pa.array((pos - lo).astype(np.int16)), pa.array((hi - pos + length).astype(np.int16)), pa.array(h)], names=["doc_id", "th", "pos", "lt", "rt", "h"])
 
@@ -259,10 +251,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
 
     found = stored(docs.mapInArrow(lambda it: gathered(find(it)), "doc_id long, th long, pos long, lt short, rt short, h long"))
     often = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    places = found.join(often, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "lt", "rt", "h", (F.col("n") > hot).alias("hot"))).alias("at"))
-    texts = docs.mapInArrow(_packed, "doc_id long, th long, z binary")
-    # rows of one doc_id and text are copies: their anchors are listed together, so each text is cut once
-    one = F.array_distinct("at").alias("at")
+    texts = packed_texts(docs)
+
+    def parts(which: str) -> DataFrame:
+        """Left and right contexts of the anchors whose k-gram's count meets the condition."""
+        # rows of one doc_id and text are copies: their anchors are listed together, so each text is cut once
+        at = found.join(often.filter(which), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "lt", "rt", "h")).alias("at")).withColumnsRenamed({"doc_id": "pid", "th": "pth"})
+        whole = texts.join(at, texts.doc_id.eqNullSafe(at.pid) & (texts.th == at.pth))
+        return whole.select("doc_id", "th", "z", "at").mapInArrow(cut, "doc_id long, th long, pos long, h long, lc binary, rc binary")
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
@@ -273,7 +269,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
                 for a in at:
                     p = a["pos"]
                     left, right = raw[p - a["lt"] : p], raw[p : p + a["rt"]]
-                    out.append((i, th, p, a["h"], a["hot"], left, right))
+                    out.append((i, th, p, a["h"], left, right))
                     size += len(left) + len(right)
                 if size > 8_000_000:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), CUT)], names=CUT_NAMES)
@@ -281,9 +277,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), CUT)], names=CUT_NAMES)
 
-    whole = texts.join(places, (texts.doc_id.eqNullSafe(places.doc_id)) & (texts.th == places.th)).select(texts.doc_id, texts.th, "z", one)
-    parts = whole.mapInArrow(cut, "doc_id long, th long, pos long, h long, hot boolean, lc binary, rc binary")
-
     def judge(batches):
         def flush(rows):
             got = repeated_in_groups([(r["h"], r["lc"], r["rc"]) for r in rows], length)
@@ -304,7 +297,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
 
     schema = "doc_id long, th long, lo long, hi long"
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = parts.filter("not hot").repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(judge, schema)
+    cold = parts(f"n <= {hot}").repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(judge, schema)
 
     def windows(batches):
         for b in batches:
@@ -315,7 +308,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
                 at = np.arange(n) + r["pos"] - p
                 yield pa.record_batch([pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["th"]] * n, pa.int64()), pa.array(at), pa.array(d, pa.binary())], names=["doc_id", "th", "lo", "d"])
 
-    many = parts.filter("hot").mapInArrow(lambda it: gathered(windows(it)), "doc_id long, th long, lo long, d binary")
+    many = parts(f"n > {hot}").mapInArrow(lambda it: gathered(windows(it)), "doc_id long, th long, lo long, d binary")
     twice = many.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
     warm = many.join(twice, "d").select("doc_id", "th", "lo", (F.col("lo") + length).alias("hi"))
     # map-side: windows of a document that overlap become one span only later, per document
@@ -345,6 +338,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
     return both.select(texts.doc_id, "z", "spans").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-CUT_NAMES = ["doc_id", "th", "pos", "h", "hot", "lc", "rc"]
+CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+CUT_NAMES = ["doc_id", "th", "pos", "h", "lc", "rc"]
 CLEAN = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
