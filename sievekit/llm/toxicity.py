@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sievekit.llm.common import fit_in_task, sample_rows
 
-P, SPAN, LAMBDA = 4, 6, 0.8
+P, SPAN, LAMBDA = 4, 6, 0.7
 LETTERS = 27  # 0 is the blank
 SAMPLE = 3000
 LANDMARKS = 256
@@ -103,6 +103,14 @@ def profile(word: str) -> dict[int, float]:
     return {c: v / norm for c, v in got.items()}
 
 
+def table_sums(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Weighted sums of a table over the subsequences that start at each place."""
+    f = np.zeros(len(s))
+    for code, weight in subsequences(s):
+        f[: len(code)] += weight * table[code]
+    return f
+
+
 class Kernel:
     """Kernel values of strings with the landmarks."""
 
@@ -115,6 +123,8 @@ class Kernel:
         for j, p in enumerate(profiles):
             for c, v in p.items():
                 self.phi[self.row[c], j] = v
+        self.likeness = np.zeros(LETTERS**P, np.float32)
+        self.likeness[self.codes] = self.phi[:, : len(words) * 3 // 4].max(axis=1, initial=0)
         own = self.phi.T @ self.phi
         value, vector = np.linalg.eigh(own.astype(np.float64))
         good = value > 1e-6 * value.max(initial=1)
@@ -156,13 +166,15 @@ def landmarks(docs: list[tuple[list[str], int]], most: int, rng) -> list[str]:
     return best + [common[i] for i in sorted(rng.choice(len(common), min(len(common), most - len(best)), replace=False))] if common else best
 
 
-def with_insertions(s: np.ndarray, starts: np.ndarray, take: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """The taken words, each with a letter put in at random."""
+def taken(s: np.ndarray, starts: np.ndarray, take: np.ndarray, rng=None) -> tuple[np.ndarray, np.ndarray]:
+    """The taken words; with rng, each with a letter put in at random."""
     ends = np.append(starts[1:], len(s) - 1)
     out = [np.zeros(1, np.uint8)]
     for i in take:
         word = s[starts[i] + 1 : ends[i]]
-        out.append(np.append(np.insert(word, rng.integers(1, max(2, len(word))), rng.integers(1, LETTERS)), 0).astype(np.uint8))
+        if rng is not None:
+            word = np.insert(word, rng.integers(1, max(2, len(word))), rng.integers(1, LETTERS))
+        out.append(np.append(word, 0).astype(np.uint8))
     got = np.concatenate(out)
     return got, np.flatnonzero(got == 0)[:-1]
 
@@ -203,10 +215,7 @@ class Model:
         """The decision on the best sentence, that is, on its best word."""
         if not len(starts):
             return self.lowest
-        f = np.zeros(len(s))
-        for code, weight in subsequences(s):
-            f[: len(code)] += weight * self.table[code]
-        return float((np.add.reduceat(f, starts) / norms(s, starts)).max())
+        return float((np.add.reduceat(table_sums(s, self.table), starts) / norms(s, starts)).max())
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + float(np.exp(-np.clip(self.slope * self.best(*folded(text)) + self.offset, -40, 40))))
@@ -222,7 +231,7 @@ class Model:
         return Model(got["table"], *got["rest"].tolist())
 
 
-def fit(rows: list[tuple[str | None, int]], prior: float, most: int = LANDMARKS, rounds: int = 3) -> Model:
+def fit(rows: list[tuple[str | None, int]], prior: float, most: int = LANDMARKS, rounds: int = 5) -> Model:
     """rows (text, toxic); prior: share of toxic documents among the labelled ones."""
     rng = np.random.default_rng(11)
     table = np.zeros(LETTERS**P, np.float32)
@@ -233,31 +242,25 @@ def fit(rows: list[tuple[str | None, int]], prior: float, most: int = LANDMARKS,
     held = rng.random(len(texts)) < 0.25
     train = [t for t, h in zip(texts, held) if not h]
     kernel = Kernel(landmarks([(letters(s), y) for s, _, y in train], most, rng))
-    xs, ys, doc, odd = [], [], [], []
-    for n, (s, starts, y) in enumerate(train):
-        k = kernel.words(s, starts)
-        strength = k[:, : most * 3 // 4].max(axis=1, initial=0)
-        take = np.argsort(-strength)[:6]
-        if not y:
-            take = np.union1d(take, rng.choice(len(k), min(len(k), 6), replace=False))
-        if y:
-            odd.append(kernel.words(*with_insertions(s, starts, take, rng)))
-        xs.append(k[take])
-        ys += [y] * len(take)
-        doc += [n] * len(take)
-    x, ys, doc = np.concatenate(xs) @ kernel.root, np.array(ys), np.array(doc)
-    odd = np.concatenate(odd) @ kernel.root
-    f = np.concatenate([k[:, : most * 3 // 4].max(axis=1, initial=0) for k in xs])
+    others: list[np.ndarray] = []  # words of documents that aren't toxic, more of them each round
+    strength = kernel.likeness
     for _ in range(rounds):
-        order = np.lexsort((-f, doc))
-        top = np.zeros(len(ys), bool)
-        top[order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]] = True
-        used = np.concatenate((x[ys == 0], x[top & (ys == 1)], odd[top[ys == 1]]))
-        y = np.ones(len(used))
-        y[: (ys == 0).sum()] = -1
-        w, b = svm(used, y, np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()) / 3, 1.0))
-        f = x @ w + b
-    table[kernel.codes] = kernel.phi @ (kernel.root @ w)
+        toxic, odd = [], []
+        for s, starts, y in train:
+            f = np.add.reduceat(table_sums(s, strength), starts) / norms(s, starts)
+            best = np.argsort(-f, kind="stable")[: 1 if y else 3]
+            if y:
+                toxic.append(kernel.words(*taken(s, starts, best)))
+                odd.append(kernel.words(*taken(s, starts, best, rng)))
+            else:
+                best = np.union1d(best, rng.choice(len(starts), min(len(starts), 2), replace=False))
+                others.append(kernel.words(*taken(s, starts, best)))
+        x = np.concatenate((*others, *toxic, *odd)) @ kernel.root
+        y = np.ones(len(x))
+        y[: sum(map(len, others))] = -1
+        w, _ = svm(x, y, np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()) / 3, 1.0))
+        table[kernel.codes] = kernel.phi @ (kernel.root @ w)
+        strength = table
     model = Model(table, 1.0, 0.0, 0.0)
     some = [t for t, h in zip(texts, held) if h] or texts
     best = np.array([model.best(s, starts) for s, starts, _ in some])
