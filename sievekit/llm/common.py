@@ -44,6 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sievekit-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are wide rows: Spark's default number of rows in a batch for Python is lowered unless the user has set another."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, an executor's loss costs nothing."""
     spark = df.sparkSession

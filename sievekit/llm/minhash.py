@@ -18,7 +18,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievekit.llm.common import LOWER, components, mixed, packed_texts, stored, word_hashes
+from sievekit.llm.common import LOWER, components, mixed, packed_texts, small_batches, stored, word_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -95,36 +95,24 @@ def _sign(batches):
 def _sets(batches):
     z = zstandard.ZstdDecompressor()
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([shingles(z.decompress(t).decode()).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+        yield pa.record_batch([b.column(0), pa.array([shingles(z.decompress(t).decode()).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = packed_texts(docs).join(ids, F.col("doc_id") == F.col("id")).select("id", "z").mapInArrow(_sets, "id long, s binary")
-
-    def alike(batches):
-        for b in batches:
-            a, c, s, t = (x.to_pylist() for x in b.columns)
-            good = []
-            for x, y in zip(s, t):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                least, most = sorted((len(x), len(y)))
-                if 100 * least < percent * most:
-                    good.append(False)
-                    continue
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = np.flatnonzero(good)
-            yield pa.record_batch([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(c, np.int64)[keep])], names=["a", "b"])
-
+    sets = packed_texts(docs).join(ids, F.col("doc_id") == F.col("id")).select("id", "z").mapInArrow(_sets, "id long, s array<long>")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-    return first.join(sets.select(F.col("id").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(alike, "a long, b long").distinct()
+    both = first.join(sets.select(F.col("id").alias("a"), "s"), "a")
+    least, most = F.least(F.size("s"), F.size("t")), F.greatest(F.size("s"), F.size("t"))
+    both = both.filter(100 * least >= percent * most)
+    same = F.size(F.array_intersect("s", "t"))
+    return both.filter(100 * same >= percent * (F.size("s") + F.size("t") - same)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>"))
     own = signed.filter("digest IS NOT NULL")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from sievekit.llm.common import small_batches
+
 WINDOW = 4096
 END_ID = 2
 
@@ -156,6 +158,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     ids are little-endian unsigned 32-bit. sequence_id is the partition's number times 2^32 plus its own count.
     """
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, state = encoder(tokenizer_path), SumOfSquares(window)
         last = np.array([end_id], "<u2").tobytes()

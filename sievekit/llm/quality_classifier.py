@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievekit.llm.common import fit_in_task, sample_rows
+from sievekit.llm.common import fit_in_task, sample_rows, small_batches
 
 BINS = 1 << 14
 SAMPLE = 6000
@@ -114,6 +114,7 @@ def quality_scores(docs: DataFrame, blob: bytes, carry: list[str], at_least: int
             got = [model.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array([g for g, _ in got], pa.float64()), pa.array([float(t[at_least - 1]) for _, t in got], pa.float64())], names=[*carry, "expected_grade", "tail_probability"])
 
+    small_batches(docs.sparkSession)
     kept = docs.select(*carry, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
     return kept.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")

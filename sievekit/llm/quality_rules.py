@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievekit.llm.common import stored, word_hashes
+from sievekit.llm.common import small_batches, stored, word_hashes
 
 #: Classes of characters: blank, a-z (accents dropped, lower case), digits, signs, other signs, other letters in three classes.
 SIGNS = [",", ".", "!", "?", "'\"`’“”«»", "-–—_", "()[]{}", "#*$%&|<>"]
@@ -187,6 +187,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns of docs (..., text, lang) with the base counts, base_failed and the mean log perplexity."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.withColumn("_lang", F.coalesce("lang", F.lit("")))
     model = stored(models(ngram_counts(docs.select(F.col("_lang").alias("lang"), "text"))))

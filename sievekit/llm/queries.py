@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sievekit.llm import quality_classifier, toxicity
 from sievekit.llm.common import documents, labels
+from sievekit.llm.fingerprint import fingerprints
 from sievekit.llm.minhash import near_duplicates
 from sievekit.llm.packing import pack
 from sievekit.llm.quality_rules import quality_rules
@@ -49,6 +50,11 @@ def op8_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_bloom_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and likenesses read from them."""
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the least doc_id of its near-duplicates."""
     return near_duplicates(documents(spark, sf_dir))
@@ -60,5 +66,6 @@ QUERIES = {
     "op6_kneser_ney_rules": (op6_kneser_ney_rules, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_sos_packing": (op8_sos_packing, None),
+    "op9_bloom_lookup_fingerprints": (op9_bloom_lookup_fingerprints, None),
     "op10_bbit_minhash": (op10_bbit_minhash, None),
 }

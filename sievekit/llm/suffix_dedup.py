@@ -23,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from sievekit.llm.common import POWERS, mixed, packed_texts, prefix_hashes, stored, text_hash
+from sievekit.llm.common import POWERS, mixed, packed_texts, prefix_hashes, small_batches, stored, text_hash
 
 LENGTH = 400
 K = 32
@@ -226,6 +226,7 @@ def repeated_in_groups(rows: list[tuple[int, bytes, bytes]], length: int = LENGT
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
 

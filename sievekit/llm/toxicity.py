@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievekit.llm.common import fit_in_task, sample_rows
+from sievekit.llm.common import fit_in_task, sample_rows, small_batches
 
 P, SPAN, LAMBDA = 4, 6, 0.7
 LETTERS = 27  # 0 is the blank
@@ -294,5 +294,6 @@ def toxicity(docs: DataFrame, blob: bytes) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     got = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
