@@ -43,8 +43,8 @@ def cell_of(key: str, block: int, width: int) -> str:
 
 def digests(text: str) -> str:
     """Distinct digests of a text's paragraphs."""
-    parts = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])\\s+'), array(l))))"
-    return f"array_distinct(transform(filter({parts}, p -> p rlike '\\S'), p -> xxhash64(p)))"
+    parts = f"flatten(transform(split({text}, '\\\\n'), l -> if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])\\\\s+'), array(l))))"
+    return f"array_distinct(transform(filter({parts}, p -> p rlike '\\\\S'), p -> xxhash64(p)))"
 
 
 def sketch(keys: str, width: int = WIDTH) -> str:
@@ -80,7 +80,7 @@ def larger(a: str, b: str, level: int) -> str:
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """Number of digests in one of two sets only. Sets that can't differ by few enough skip the first sketches."""
-    first = f"if(abs(size({a}) - size({b})) <= {WIDTH} AND size({a}) + size({b}) <= {4 * CELLS}, array_size({peeled(subtracted(cells_a, cells_b))}), NULL)"
+    first = f"if(abs(size({a}) - size({b})) <= {WIDTH} AND size({a}) + size({b}) <= {CELLS + CELLS // 2}, array_size({peeled(subtracted(cells_a, cells_b))}), NULL)"
     exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
     return f"coalesce({first}, {larger(a, b, 1)}, {larger(a, b, 2)}, {larger(a, b, 3)}, {exact})"
 
