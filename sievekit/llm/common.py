@@ -74,8 +74,8 @@ def per_batch(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schem
     return run
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, z) of docs (doc_id, text): a 64-bit hash of the text and its compressed bytes, for shuffles."""
+def packed_texts(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, th, z, carried columns) of docs (doc_id, text, ...): a 64-bit hash of the text and its compressed bytes, for shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -83,7 +83,25 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             raw = [(t or "").encode() for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([text_hash(r) for r in raw], pa.int64()), pa.array([z.compress(r) for r in raw], pa.binary())], names=["doc_id", "th", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, th long, z binary")
+    def carrying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in run(iter([b])):
+                yield pa.record_batch([*c.columns, *b.columns[2:]], names=["doc_id", "th", "z", *carry])
+
+    rows = docs.select("doc_id", "text", *carry)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(carrying, f"doc_id long, th long, z binary{more}")
+
+
+def whole_characters(rows: DataFrame) -> DataFrame:
+    """rows (..., kept binary) with kept as text: UTF-8 that was cut inside a character loses that character; n_chars counts the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [(t or b"").decode("utf-8", "ignore") for t in b.column(b.schema.get_field_index("kept")).to_pylist()]
+            yield pa.record_batch([*b.columns, pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[*b.schema.names, "text", "n_chars"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string, n_chars long")
 
 
 def text_hash(raw: bytes) -> int:

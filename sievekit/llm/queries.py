@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievekit.llm import quality_classifier, toxicity
+from sievekit.llm import piece_transducer, quality_classifier, toxicity
 from sievekit.llm.common import documents, labels
 from sievekit.llm.fingerprint import fingerprints
 from sievekit.llm.minhash import near_duplicates
 from sievekit.llm.packing import pack
 from sievekit.llm.quality_rules import quality_rules
+from sievekit.llm.sentence_dedup import sentence_dedup
 from sievekit.llm.suffix_dedup import suffix_dedup
+from sievekit.llm.token_counts import token_counts
 
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +29,32 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("tail_probability") >= quality_classifier.LEAST_TAIL)
 
 
+def op2_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: number and checksum of the ids, digest of the decoded text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir)
+    ids = piece_transducer.encode(docs, path, ["doc_id"])
+    got = piece_transducer.decode(ids, path)
+    return got.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir)
     return toxicity.toxicity(docs, toxicity.train(docs, labels(spark, sf_dir)))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated runs of sentences, as counts, removed spans and a digest of what is left."""
+    got = sentence_dedup(documents(spark, sf_dir))
+    return got.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op6_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, perplexity and verdict of every document."""
     return quality_rules(documents(spark, sf_dir), ["doc_id"])
@@ -62,7 +84,10 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ordinal_quality": (op1_ordinal_quality, None),
+    "op2_viterbi_counts": (op2_viterbi_counts, None),
+    "op3_piece_transducer": (op3_piece_transducer, None),
     "op4_subsequence_toxicity": (op4_subsequence_toxicity, None),
+    "op5_sentence_spans": (op5_sentence_spans, None),
     "op6_kneser_ney_rules": (op6_kneser_ney_rules, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_sos_packing": (op8_sos_packing, None),

@@ -224,11 +224,11 @@ def repeated_in_groups(rows: list[tuple[int, bytes, bytes]], length: int = LENGT
     return [got[c] for c in of]
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs (doc_id, text)."""
+def suffix_dedup(docs: DataFrame, carry: list[str] = (), length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, carried columns) for every row of docs (doc_id, text, ...)."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    whole_rows, docs = docs, docs.select("doc_id", "text")
 
     def find(batches):
         for b in batches:
@@ -319,7 +319,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
         z = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for i, zt, spans in zip(*(c.to_pylist() for c in b.columns)):
+            for i, zt, spans in zip(*(c.to_pylist() for c in b.columns[:3])):
                 raw = z.decompress(zt)
                 kept, at, n, removed = [], 0, 0, 0
                 merged: list[list[int]] = []
@@ -333,10 +333,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = H
                     at, n, removed = hi, n + 1, removed + hi - lo
                 rest = b"".join([*kept, raw[at:]])
                 out.append((i, len(raw), removed, n, rest))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), CLEAN)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            done = [pa.array(c, t) for c, t in zip(zip(*out), CLEAN)]
+            yield pa.record_batch([*done, *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    both = texts.join(spans, texts.doc_id.eqNullSafe(spans.sid) & (texts.th == spans.sth), "left")
-    return both.select(texts.doc_id, "z", "spans").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = packed_texts(whole_rows, carry) if carry else texts
+    both = rows.join(spans, rows.doc_id.eqNullSafe(spans.sid) & (rows.th == spans.sth), "left").select(rows.doc_id, "z", "spans", *carry)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in both.schema[3:])
+    return both.mapInArrow(clean, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{more}")
 
 
 CUT = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
