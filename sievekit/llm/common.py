@@ -115,7 +115,8 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[dict]], bytes]) -> bytes:
         got = [r for b in batches for r in b.to_pylist()]
         yield pa.record_batch([pa.array([fit(got)], pa.binary())], names=["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(run, "model binary").collect()[0][0])
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return bytes(got[0][0]) if got else fit([])  # no task runs over no rows
 
 
 def sample_rows(df: DataFrame, key: str, most: int) -> DataFrame:

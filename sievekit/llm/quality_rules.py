@@ -32,7 +32,7 @@ SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 #: Half-width of the bands in log perplexity: this many times the distance from the median to the outer decile, and this at least.
 WIDTH = 4.0
-LEAST_WIDTH = 0.35
+LEAST_WIDTH = 0.7
 
 
 def _classes() -> np.ndarray:

@@ -5,7 +5,7 @@ spelled-out letters joined). The kernel of two words counts their common subsequ
 costing LAMBDA, over the words' norms; it bears inserted characters up to the span. Landmarks are words that differ most between toxic
 and other labelled documents, and random ones. Words of labelled sentences become Nystroem features: kernel values with the
 landmarks times the inverse root of the landmarks' own kernel. A linear SVM is fitted in rounds; a sentence counts by its most
-toxic word, and a toxic document by its most toxic sentence, as the round before saw them. The decision is linear in the
+toxic word, and a toxic document by its most toxic sentences, as the round before saw them. The decision is linear in the
 subsequences, so it folds into one table for scoring. A document's score is a logistic curve of the decision on its best
 sentence, fitted on training documents that the SVM has not seen.
 
@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from sievekit.llm.common import fit_in_task, sample_rows, small_batches
 
-P, SPAN, LAMBDA = 4, 6, 0.7
+P, SPAN, LAMBDA = 4, 6, 0.5
 LETTERS = 27  # 0 is the blank
 SAMPLE = 3000
 LANDMARKS = 256
+#: A missed toxic document weighs as much as this many others in the fit of the score.
+MISS_COST = 3.0
+REG = 0.2
 #: Look-alikes of letters.
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 DROP = 27
@@ -179,7 +182,7 @@ def taken(s: np.ndarray, starts: np.ndarray, take: np.ndarray, rng=None) -> tupl
     return got, np.flatnonzero(got == 0)[:-1]
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = REG, steps: int = 30) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, by Newton steps over the rows inside the margin."""
     d = np.concatenate((x, np.ones((len(x), 1))), 1).astype(np.float64)
     ridge = np.eye(d.shape[1]) * reg
@@ -248,8 +251,9 @@ def fit(rows: list[tuple[str | None, int]], prior: float, most: int = LANDMARKS,
         toxic, odd = [], []
         for s, starts, y in train:
             f = np.add.reduceat(table_sums(s, strength), starts) / norms(s, starts)
-            best = np.argsort(-f, kind="stable")[: 1 if y else 3]
+            best = np.argsort(-f, kind="stable")[: 5 if y else 3]
             if y:
+                best = best[f[best] >= 0.8 * f[best[0]]] if f[best[0]] > 0 else best[:1]  # its other insults too
                 toxic.append(kernel.words(*taken(s, starts, best)))
                 odd.append(kernel.words(*taken(s, starts, best, rng)))
             else:
@@ -266,7 +270,7 @@ def fit(rows: list[tuple[str | None, int]], prior: float, most: int = LANDMARKS,
     best = np.array([model.best(s, starts) for s, starts, _ in some])
     y = np.array([t[2] for t in some], float)
     toxic = max(y.mean(), 1e-3)
-    weight = np.where(y == 1, prior / toxic, (1 - prior) / max(1 - toxic, 1e-3))
+    weight = np.where(y == 1, MISS_COST * prior / toxic, (1 - prior) / max(1 - toxic, 1e-3))
     model.slope, model.offset = logistic(best, y, weight)
     model.lowest = float(min(best.min(), 0.0))
     return model
