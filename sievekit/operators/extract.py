@@ -1,11 +1,10 @@
 """Fragment extraction: ``documents`` -> ``fragments`` (rules E1-E19).
 
-One pass over the documents table.  Key-value blocks and fenced code blocks
-are found with built-in array functions over the lines of each text (no
-shuffle, no Python).  JSON, CSV, HTML-table and YAML scanning are sequential
-state machines with no built-in equivalent; they run as Arrow-batched pandas
-UDFs, and each receives the text only when a cheap native test says the text
-can hold such a fragment (otherwise NULL crosses to Python).
+One pass over the documents table.  Fenced code blocks are cut out natively.
+Key-value, JSON, CSV, HTML-table and YAML scanning are sequential and linear in
+the text; they share one Arrow-batched pandas UDF, which receives the text only
+when a cheap native test says it can hold a fragment (otherwise NULL crosses to
+Python).  What can't be read becomes a fragment with ``parse_error`` and a ``reason``.
 
 All per-type fragment arrays are mapped to one struct shape, concatenated and
 exploded once, so the documents are scanned a single time.
@@ -29,58 +28,27 @@ KV_KEY_MAX_LEN = 50
 JSON_CONFIDENCE, JSON_ERROR_CONFIDENCE, KV_CONFIDENCE, HTML_CONFIDENCE = 1.0, 0.5, 1.0, 0.95
 CODE_FENCE = "```"
 
-# Python str.splitlines() boundaries, kept at the end of each line.
-LINE_SPLIT = r"(?<=\r\n|[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]|\r(?!\n))"
-
 FIELD_T = "array<struct<name:string,jtype:string,token:string>>"
 PATH_T = "array<struct<path:string,jtype:string,token:string>>"
 ENTRY_T = "array<struct<k:string,v:string>>"
-FRAGMENT_T = (
-    "struct<source_type:string,ordinal:int,offset_start:int,offset_end:int,raw:string,"
-    "confidence:double,parse_error:boolean,headers:array<string>,delimiter:string,"
-    f"block_type:string,entries:{ENTRY_T},rows:array<array<string>>,data:string,fields:{FIELD_T}>"
-)
 
-_JSON_UDF_T = f"array<struct<start:int,end:int,raw:string,ok:boolean,data:string,fields:{FIELD_T},paths:{PATH_T}>>"
+_JSON_UDF_T = f"array<struct<start:int,end:int,raw:string,ok:boolean,data:string,fields:{FIELD_T},paths:{PATH_T},reason:string>>"
 _CSV_UDF_T = (
     "array<struct<start:int,end:int,delimiter:string,headers:array<string>,"
-    "rows:array<array<string>>,confidence:double>>"
+    "rows:array<array<string>>,confidence:double,reason:string>>"
 )
-_HTML_UDF_T = "array<struct<start:int,end:int,headers:array<string>,rows:array<array<string>>>>"
+_HTML_UDF_T = "array<struct<start:int,end:int,headers:array<string>,rows:array<array<string>>,reason:string>>"
 _YAML_UDF_T = (
     "array<struct<start:int,end:int,raw:string,block_type:string,confidence:double,data:string,"
-    f"fields:{FIELD_T},paths:{PATH_T}>>"
+    f"fields:{FIELD_T},paths:{PATH_T},reason:string>>"
 )
-
-
-def _series_map(fn):
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fn(t) if isinstance(t, str) else [])
-
-    return run
+_KV_UDF_T = f"array<struct<start:int,end:int,raw:string,entries:{ENTRY_T}>>"
 
 
 _UDF_CACHE: dict = {}
 
 
-def _scanner(name: str, fn, ddl: str):
-    """Pandas UDF built on first use (type strings need an active session to parse)."""
-
-    def call(col: Column) -> Column:
-        if name not in _UDF_CACHE:
-            _UDF_CACHE[name] = F.pandas_udf(_series_map(fn), ddl)
-        return _UDF_CACHE[name](col)
-
-    return call
-
-
-json_scan = _scanner("json", scanners.json_fragments, _JSON_UDF_T)
-csv_scan = _scanner("csv", scanners.csv_blocks, _CSV_UDF_T)
-html_scan = _scanner("html", scanners.html_tables, _HTML_UDF_T)
-yaml_scan = _scanner("yaml", scanners.yaml_blocks, _YAML_UDF_T)
-
-
-# --- key-value lines (E4-E7), native ----------------------------------------
+# --- one key-value line as a Column expression (E4) --------------------------
 
 
 def kv_parse(line) -> Column:
@@ -92,102 +60,28 @@ def kv_parse(line) -> Column:
     return F.when(ok, F.struct(key.alias("k"), value.alias("v")))
 
 
-def split_lines(text) -> Column:
-    """Lines with their endings, as ``str.splitlines(keepends=True)``."""
-    parts = F.split(text, LINE_SPLIT, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-
-def _strip_crlf(x) -> Column:
-    return F.regexp_replace(x, r"[\r\n]+$", "")
-
-
-def kv_entries(raw) -> Column:
-    """Rule E7: block text -> entries, one per raw key (last value, at its first place).
-
-    A single fold over the parsed lines, so each line is parsed once.
-    """
-    parsed = F.filter(F.transform(F.split(raw, "\n"), kv_parse), lambda e: e.isNotNull())
-    return F.aggregate(
-        parsed,
-        F.array().cast(ENTRY_T),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda a: a.k == e.k),
-            F.transform(acc, lambda a: F.when(a.k == e.k, e).otherwise(a)),
-        ).otherwise(F.array_append(acc, e)),
-    )
-
-
-def kv_blocks(text, regions) -> Column:
-    """Rule E5/E6: runs of KV lines (blank lines do not break a run; JSON-region lines do)."""
-    lines = F.transform(
-        split_lines(text),
-        lambda l: F.struct(
-            l.alias("l"),
-            F.length(l).alias("n"),
-            kv_parse(_strip_crlf(l)).isNotNull().alias("kv"),
-            (py_strip(_strip_crlf(l)) == "").alias("blank"),
-        ),
-    )
-    block_t = "array<struct<start:int,end:int,lines:array<string>>>"
-    init = F.struct(
-        F.lit(0).alias("off"),
-        F.lit(0).alias("bs"),
-        F.lit(0).alias("be"),
-        F.array().cast("array<string>").alias("cur"),
-        F.array().cast(block_t).alias("blocks"),
-    )
-
-    def close(acc):
-        return F.when(
-            F.size(acc.cur) > 0,
-            F.array_append(acc.blocks, F.struct(acc.bs.alias("start"), acc.be.alias("end"), acc.cur.alias("lines"))),
-        ).otherwise(acc.blocks)
-
-    def step(acc, x):
-        ls, le = acc.off, acc.off + x.n
-        in_json = F.exists(regions, lambda r: ~((le < r.start) | (ls >= r.end)))
-        brk = in_json | (~x.kv & ~x.blank)
-        take = ~in_json & x.kv
-        empty_cur = F.array().cast("array<string>")
-        return F.struct(
-            le.alias("off"),
-            F.when(take & (F.size(acc.cur) == 0), ls).otherwise(acc.bs).alias("bs"),
-            F.when(take, le).otherwise(acc.be).alias("be"),
-            F.when(brk, empty_cur).when(take, F.array_append(acc.cur, x.l)).otherwise(acc.cur).alias("cur"),
-            F.when(brk, close(acc)).otherwise(acc.blocks).alias("blocks"),
-        )
-
-    return F.aggregate(lines, init, step, close)
-
-
 # --- fenced code blocks (E17), native ---------------------------------------
 
 
 def code_blocks(text) -> Column:
-    """Contents between fence lines; an unclosed last block is kept when non-empty."""
-    init = F.struct(F.lit(False).alias("inb"), F.array().cast("array<string>").alias("cur"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, line):
-        fence = py_strip(line).startswith(CODE_FENCE)
-        return F.when(fence & acc.inb, F.struct(F.lit(False).alias("inb"), F.array().cast("array<string>").alias("cur"),
-                                               F.array_append(acc.out, F.array_join(acc.cur, "\n")).alias("out"))) \
-            .when(fence, F.struct(F.lit(True).alias("inb"), acc.cur.alias("cur"), acc.out.alias("out"))) \
-            .when(acc.inb, F.struct(acc.inb.alias("inb"), F.array_append(acc.cur, line).alias("cur"), acc.out.alias("out"))) \
-            .otherwise(acc)
-
-    return F.aggregate(
-        F.split(text, "\n", -1), init, step,
-        lambda acc: F.when(F.size(acc.cur) > 0, F.array_append(acc.out, F.array_join(acc.cur, "\n"))).otherwise(acc.out),
-    )
+    """Contents between fence lines; an unclosed last block is kept when it has a line.
+
+    Fence lines cut the text; every second piece lies inside. A closed piece has a line end on both sides, an open one in front.
+    """
+    pieces = F.split(text, rf"(?Umd)^[^\S\n]*{CODE_FENCE}.*$", -1)
+    last = F.size(pieces) - 1
+    inside = F.filter(
+        F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & ((i < last) | (p != "")),
+                                                F.substring(p, F.lit(2), F.greatest(F.length(p) - F.when(i < last, 2).otherwise(1), F.lit(0))))),
+        lambda p: p.isNotNull())
+    return F.coalesce(inside, F.array().cast("array<string>"))
 
 
 # --- assembling fragments ----------------------------------------------------
 
 
 def _frag(source_type, ordinal, start, end, raw, confidence, parse_error=None, headers=None, delimiter=None,
-          block_type=None, entries=None, rows=None, data=None, fields=None, paths=None) -> Column:
+          block_type=None, entries=None, rows=None, data=None, fields=None, paths=None, reason=None) -> Column:
     def lit_or(x, t):
         return F.lit(None).cast(t) if x is None else x.cast(t)
 
@@ -208,20 +102,19 @@ def _frag(source_type, ordinal, start, end, raw, confidence, parse_error=None, h
         lit_or(data, "string").alias("data"),
         lit_or(fields, FIELD_T).alias("fields"),
         lit_or(paths, PATH_T).alias("paths"),
+        lit_or(reason, "string").alias("reason"),
     )
 
 
-def _masked(text: Column, cond: Column) -> Column:
-    return F.when(cond, text)
-
-
-_SCAN_ALL_T = f"struct<json:{_JSON_UDF_T},csv:{_CSV_UDF_T},html:{_HTML_UDF_T},yaml:{_YAML_UDF_T}>"
+_SCAN_ALL_T = f"struct<json:{_JSON_UDF_T},kv:{_KV_UDF_T},csv:{_CSV_UDF_T},html:{_HTML_UDF_T},yaml:{_YAML_UDF_T}>"
 
 
 def _scan_all(text: str) -> dict:
-    """All four scanners over one text; each skips texts that cannot hold its fragments."""
+    """All scanners over one text; each skips texts that cannot hold its fragments."""
+    found = scanners.json_fragments(text) if "{" in text else []
     return {
-        "json": scanners.json_fragments(text) if "{" in text else [],
+        "json": found,
+        "kv": scanners.kv_blocks(text, [(j["start"], j["end"]) for j in found]) if ":" in text else [],
         "csv": scanners.csv_blocks(text),
         "html": scanners.html_tables(text),
         "yaml": scanners.yaml_blocks(text),
@@ -229,13 +122,12 @@ def _scan_all(text: str) -> dict:
 
 
 def _scan_all_series(texts: pd.Series) -> pd.DataFrame:
-    empty = {"json": [], "csv": [], "html": [], "yaml": []}
-    return pd.DataFrame([_scan_all(t) if isinstance(t, str) else empty for t in texts],
-                        columns=["json", "csv", "html", "yaml"])
+    names = ["json", "kv", "csv", "html", "yaml"]
+    return pd.DataFrame([_scan_all(t) if isinstance(t, str) else {n: [] for n in names} for t in texts], columns=names)
 
 
 def scan_columns(text: Column) -> list[Column]:
-    """The four Python scanners in one Arrow round trip (the text crosses once).
+    """The Python scanners in one Arrow round trip (the text crosses once).
 
     Only texts that can hold some fragment (a '{', ',', TAB, '<table' or ':')
     are sent; the others cross as NULL.
@@ -253,28 +145,24 @@ def fragment_arrays(text: Column) -> dict[str, Column]:
     Expects the columns made by ``scan_columns`` next to ``text``.
     """
     json_arr = F.coalesce(F.col("_scan.json"), F.array().cast(_JSON_UDF_T))
-    regions = F.transform(json_arr, lambda j: F.struct(j.start.alias("start"), j.end.alias("end")))
-    kv_arr = F.when(F.instr(text, ":") > 0, kv_blocks(text, regions)).otherwise(
-        F.array().cast("array<struct<start:int,end:int,lines:array<string>>>")
-    )
+    kv_arr = F.coalesce(F.col("_scan.kv"), F.array().cast(_KV_UDF_T))
     csv_arr, html_arr, yaml_arr = F.col("_scan.csv"), F.col("_scan.html"), F.col("_scan.yaml")
     return {
         "json": F.transform(json_arr, lambda j, i: _frag(
             "json", i + 1, j.start, j.end, j.raw,
             F.when(j.ok, F.lit(JSON_CONFIDENCE)).otherwise(F.lit(JSON_ERROR_CONFIDENCE)),
-            parse_error=~j.ok, data=j.data, fields=j.fields, paths=j.paths)),
+            parse_error=~j.ok, data=j.data, fields=j.fields, paths=j.paths, reason=j.reason)),
         "kv": F.transform(kv_arr, lambda b, i: _frag(
-            "kv", i + 1, b.start, b.end, _strip_crlf(F.array_join(b.lines, "")), KV_CONFIDENCE,
-            entries=kv_entries(_strip_crlf(F.array_join(b.lines, ""))))),
+            "kv", i + 1, b.start, b.end, b.raw, KV_CONFIDENCE, entries=b.entries)),
         "html_table": F.transform(F.coalesce(html_arr, F.array().cast(_HTML_UDF_T)), lambda h, i: _frag(
             "html_table", i + 1, h.start, h.end, F.substring(text, h.start + 1, h.end - h.start), HTML_CONFIDENCE,
-            headers=h.headers, rows=h.rows)),
+            headers=h.headers, rows=h.rows, parse_error=F.when(h.reason.isNotNull(), True), reason=h.reason)),
         "csv_block": F.transform(F.coalesce(csv_arr, F.array().cast(_CSV_UDF_T)), lambda c, i: _frag(
             "csv_block", i + 1, c.start, c.end, F.substring(text, c.start + 1, c.end - c.start), c.confidence,
             headers=c.headers, delimiter=c.delimiter, rows=c.rows)),
         "yaml_block": F.transform(F.coalesce(yaml_arr, F.array().cast(_YAML_UDF_T)), lambda y, i: _frag(
             "yaml_block", i + 1, y.start, y.end, y.raw, y.confidence, block_type=y.block_type,
-            data=y.data, fields=y.fields, paths=y.paths)),
+            data=y.data, fields=y.fields, paths=y.paths, parse_error=F.when(y.reason.isNotNull(), True), reason=y.reason)),
     }
 
 
@@ -315,7 +203,7 @@ def extract_fragments(documents: DataFrame, text_col: str = "text", keep_cols=("
         F.concat(prefix[F.col("x.f.source_type")], F.col("x.f.ordinal").cast("string")).alias("fragment_id"),
         *[F.col(f"x.f.{c}").alias(c) for c in (
             "offset_start", "offset_end", "raw", "confidence", "parse_error", "headers", "delimiter",
-            "block_type", "entries", "rows", "data", "fields", "paths")],
+            "block_type", "entries", "rows", "data", "fields", "paths", "reason")],
     )
 
 
