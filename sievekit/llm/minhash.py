@@ -1,10 +1,11 @@
 """Near-duplicate documents by b-bit MinHash (operator 10).
 
 A document's set holds its distinct word shingles. Documents of equal sets form a class and only its least doc_id is compared. Bands
-of minima give candidates: in each bucket every member is paired with the bucket's least member. The low bits of the minima, packed
+of minima give candidates: in each bucket every member is paired with the bucket's hub, the member that shares most buckets. The low bits of the minima, packed
 into longs, estimate each pair's similarity, corrected for chance equality; pairs far below the threshold go, the others are confirmed
 on full sets. Then buckets that still hold several components are searched again, each member outside the least member's
-component against all members of other components, so no candidate of the bands between different components stays untested.
+component against all members of other components, on estimates and then on full sets inside the join, so that no candidate of the
+bands between different components stays untested and only links come out.
 
 Null or empty text has no shingles and is linked with nothing. Rows without doc_id are linked with nothing either: their
 component_id is null and they are kept. Rows that share a doc_id count as one document: a link of one is a link of all.
@@ -98,16 +99,24 @@ def _sets(batches):
         yield pa.record_batch([b.column(0), pa.array([shingles(z.decompress(t).decode()).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
 
 
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the full sets of the documents in ids (id)."""
+    return packed_texts(docs).join(ids, F.col("doc_id") == F.col("id")).select("id", "z").mapInArrow(_sets, "id long, s array<long>")
+
+
+def alike(s: str, t: str, percent: int) -> Column:
+    """Whether two full sets are alike enough; sizes that rule it out are looked at first."""
+    a, b = F.size(s), F.size(t)
+    same = F.size(F.array_intersect(s, t))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (100 * same >= percent * (a + b - same))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = packed_texts(docs).join(ids, F.col("doc_id") == F.col("id")).select("id", "z").mapInArrow(_sets, "id long, s array<long>")
+    sets = sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     both = first.join(sets.select(F.col("id").alias("a"), "s"), "a")
-    least, most = F.least(F.size("s"), F.size("t")), F.greatest(F.size("s"), F.size("t"))
-    both = both.filter(100 * least >= percent * most)
-    same = F.size(F.array_intersect("s", "t"))
-    return both.filter(100 * same >= percent * (F.size("s") + F.size("t") - same)).select("a", "b").distinct()
+    return both.filter(alike("s", "t", percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -121,24 +130,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = classes.select("id", "sig")
     least = percent / 100 - MARGIN
 
-    hubs = member.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z")
-    pairs = member.join(hubs, "bucket").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    # the hub of a bucket is the member that shares most buckets with others: of near copies that is what they were copied from
+    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(member.join(sizes, "bucket"))
+    central = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = shared.join(central, "id").select("bucket", "id", "degree")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", -F.col("id"))).alias("hub")).select("bucket", (-F.col("hub.col2")).alias("hub"))
+    pairs = shared.join(hubs, "bucket").filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    tested = stored(pairs.filter(estimate("sa", "sb") >= least).select("a", "b"))
-    links = confirmed(docs, tested, percent)
+    likely = stored(pairs.filter(estimate("sa", "sb") >= least).select("a", "b"))
+    links = confirmed(docs, likely, percent)
     # versions of a document are one: each is linked with the class of every other
     versions = own.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("doc_id")
     same = own.join(versions, "doc_id").join(classes.select("digest", "id"), "digest").filter("doc_id <> id")
     links = stored(links.union(same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))).distinct())
     label = components(links)
 
-    known = member.join(label.select("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    known = shared.select("bucket", "id").join(label.select("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed_up = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "low")
-    rest = stored(known.join(mixed_up, "bucket").join(sig, "id"))
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = stored(known.join(mixed_up, "bucket"))
+    sets = sets_of(docs, rest.select("id").distinct())
+    full = rest.join(classes.select("id", "bands", "sig").join(sets, "id"), "id")
+    x, y = full.alias("x"), full.alias("y")
     other = F.expr("x.bucket = y.bucket AND x.component <> x.low AND x.component <> y.component AND (y.component = y.low OR x.id < y.id)")
-    cross = x.join(y, other & (estimate("x.sig", "y.sig") >= least)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = stored(confirmed(docs, cross.join(tested, ["a", "b"], "left_anti"), percent))
+    once = F.expr("get(array_intersect(x.bands, y.bands), 0) = x.bucket")  # a pair is looked at in its first common bucket
+    found = x.join(y, other & (estimate("x.sig", "y.sig") >= least) & once & alike("x.s", "y.s", percent))
+    more = stored(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     if not more.isEmpty():
         label = components(links.union(more))
 
