@@ -4,8 +4,8 @@ Everything is a ``groupBy`` over the long form ``record_fields`` (one row per
 record and top-level field) or over walked paths.  All aggregates are
 algebraic (partial aggregation before the shuffle), so a hot source or a
 field present in every record does not gather its rows in one task.  The
-only order-dependent pieces (example values, the first-k samples) use
-``min_by`` or a per-partition top-k before the global one.
+only order-dependent pieces (example and enum values) use minima or a top-k
+that is cut in each task first.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ ENUM_PRESENCE_MIN = 0.5
 ENUM_MAX_VALUES = 10
 COERCION_NUMERIC_MIN = 0.6
 EXAMPLES_PER_PATH = 3
-SAMPLE_PER_PATH = 500
 SCALAR_TYPES = ["null", "boolean", "integer", "number", "string"]
 
 
@@ -43,6 +42,11 @@ def type_summary(fields_long: DataFrame, by: list[str]) -> DataFrame:
         F.collect_list(F.struct("jtype", "cnt")).alias("tc"),  # at most 8 logical types per field
         F.sum("cnt").alias("occurrences"),
     )
+    return _voted(per_field, by)
+
+
+def _voted(per_field: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """The vote over the type counts ``tc`` of each field; carried columns pass through."""
     both = F.exists("tc", lambda x: x.jtype == "integer") & F.exists("tc", lambda x: x.jtype == "number")
     int_cnt = F.aggregate("tc", F.lit(0).cast("long"), lambda a, x: a + F.when(x.jtype == "integer", x.cnt).otherwise(0))
     voted = F.when(
@@ -51,15 +55,15 @@ def type_summary(fields_long: DataFrame, by: list[str]) -> DataFrame:
                     lambda x: F.struct(x.jtype.alias("jtype"),
                                        F.when(x.jtype == "number", x.cnt + int_cnt).otherwise(x.cnt).alias("cnt"))),
     ).otherwise(F.col("tc"))
-    staged = per_field.select(*by, "name", "tc", "occurrences", voted.alias("voted"))
+    staged = per_field.select(*by, "name", "tc", "occurrences", *carry, voted.alias("voted"))
     dominant = F.array_min(F.transform("voted", lambda x: F.struct((-x.cnt).alias("neg"), x.jtype.alias("jtype"))))["jtype"]
-    out = staged.select(*by, "name", "tc", "occurrences", dominant.alias("dominant"),
+    out = staged.select(*by, "name", "tc", "occurrences", *carry, dominant.alias("dominant"),
                         F.array_sort(F.transform("voted", lambda x: x.jtype)).alias("type_union"))
     matching = F.aggregate("tc", F.lit(0).cast("long"),
                            lambda a, x: a + F.when(x.jtype == F.col("dominant"), x.cnt).otherwise(0))
     return out.select(
         *by, "name", "dominant", "type_union", "occurrences", matching.alias("matching"),
-        F.bround(matching / F.col("occurrences"), 3).alias("confidence"),
+        F.bround(matching / F.col("occurrences"), 3).alias("confidence"), *carry,
     )
 
 
@@ -70,21 +74,23 @@ def schema_fields(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     example = first non-null value token in record order (``ord``).
     """
     by = by or ["source_id"]
-    long = long_fields(records, keep=tuple(dict.fromkeys([*by, "record_id", "ord"])))
-    totals = records.groupBy(*by).agg(F.count(F.lit(1)).alias("total_records"))
-    examples = long.filter(F.col("jtype") != "null").groupBy(*by, "name").agg(
-        F.min_by("token", "ord").alias("example_value"))
-    first_seen = long.groupBy(*by, "name").agg(F.min(F.struct("ord", "pos")).alias("first_seen"))
-    summary = type_summary(long, by)
-    return (
-        summary.join(totals, by)
-        .join(examples, [*by, "name"], "left")
-        .join(first_seen, [*by, "name"])
-        .select(
-            *by, "name", F.col("dominant").alias("type"),
-            (F.col("occurrences") < F.col("total_records")).alias("nullable"),
-            "example_value", "confidence", "occurrences", "total_records", "first_seen",
-        )
+    # a field without name stands for the record itself: its count is the batch's, from the same pass
+    itself = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("jtype"), F.lit(None).cast("string").alias("token"))
+    fields = F.concat(F.array(itself), F.coalesce("fields", F.array().cast("array<struct<name:string,jtype:string,token:string>>")))
+    long = records.select(*by, "ord", F.posexplode(fields).alias("pos", "f")).select(*by, "ord", "pos", "f.*")
+    seen = F.when(F.col("jtype") != "null", F.struct("ord", "token"))
+    kinds = long.groupBy(*by, "name", "jtype").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(seen).alias("example"), F.min(F.struct("ord", "pos")).alias("first_seen"))
+    per_field = kinds.groupBy(*by, "name").agg(
+        F.collect_list(F.struct("jtype", "cnt")).alias("tc"), F.sum("cnt").alias("occurrences"),
+        F.min("example").alias("example"), F.min("first_seen").alias("first_seen"))
+    totals = per_field.filter("name IS NULL").select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("occurrences").alias("total_records"))
+    summary = _voted(per_field.filter("name IS NOT NULL"), by, ("example", "first_seen"))
+    same = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by]
+    return summary.join(totals, same).select(
+        *by, "name", F.col("dominant").alias("type"),
+        (F.col("occurrences") < F.col("total_records")).alias("nullable"),
+        F.col("example.token").alias("example_value"), "confidence", "occurrences", "total_records", "first_seen",
     )
 
 
@@ -124,53 +130,36 @@ def _python_str(vtype: Column, token: Column) -> Column:
 
 def path_stats(records: DataFrame, by: list[str]) -> DataFrame:
     """Rule T9 per (by, path): presence, type counts, numeric min/max/count,
-    semantic counts of strings, first 3 distinct examples and the first 500
-    scalar values (for T10-T12).
+    semantic counts of strings, number of distinct values, and the first distinct values.
 
-    Example and sample order: record order (``ord``), then position inside
-    the record.  The first-k selection is a top-k per (path, input
-    partition) followed by a global top-k over at most k rows per partition,
-    so a path present in every record never funnels all rows into one task.
+    All values count.  They are first summed by (path, token) with partial
+    aggregation; everything else is read from that one table.  The first
+    distinct values, by record order (``ord``) and position inside the record, are
+    a top-k that Spark cuts in each task before the shuffle; k is one
+    more than an enum may hold.
     """
     keep = list(dict.fromkeys([*by, "ord"]))
-    walked = walked_paths(records, keep)
-    text = _token_text(F.col("token"))
     num = F.when(F.col("vtype").isin("integer", "number"), F.col("token").try_cast("double"))
-    typed = walked.select(*keep, "path", "seq", "vtype", "token", text.alias("text"), num.alias("num"))
+    tokens = walked_paths(records, keep).groupBy(*by, "path", "vtype", "token").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(F.struct("ord", "seq")).alias("_o"))
+    tokens = tokens.withColumns({"text": _token_text(F.col("token")), "num": num})
     sem = semantics(F.col("text"))
     is_num = F.col("vtype").isin("integer", "number")
     is_str = F.col("vtype") == "string"
-    base = typed.groupBy(*by, "path").agg(
-        F.count(F.lit(1)).alias("presence_count"),
-        *[F.count_if(F.col("vtype") == t).alias(f"n_{t}") for t in SCALAR_TYPES],
+    total = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(0))
+    base = tokens.groupBy(*by, "path").agg(
+        F.sum("cnt").alias("presence_count"),
+        *[total(F.col("vtype") == t).alias(f"n_{t}") for t in SCALAR_TYPES],
         F.min("num").alias("num_min"),
         F.max("num").alias("num_max"),
-        F.count_if(is_num).alias("num_count"),
-        F.count_if(is_str & sem["looks_like_number"]).alias("like_number"),
-        F.count_if(is_str & sem["looks_like_date"]).alias("like_date"),
-        F.count_if(is_str & sem["looks_like_boolean"]).alias("like_boolean"),
-    )
-    ranked = typed.withColumn("_o", F.struct("ord", "seq")).withColumn("_pid", F.spark_partition_id())
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "path", "_pid").orderBy("_o")))
-    ranked = ranked.filter(F.col("_r") <= SAMPLE_PER_PATH)
-    ranked = ranked.withColumn("_g", F.row_number().over(Window.partitionBy(*by, "path").orderBy("_o")))
-    ranked = ranked.filter(F.col("_g") <= SAMPLE_PER_PATH)
-    sample = ranked.groupBy(*by, "path").agg(
-        F.array_sort(F.collect_list(F.struct("_g", "token", "vtype", "num"))).alias("_s"))  # <= 500 per path
-    out = base.join(sample, [*by, "path"], "left")
-    tokens = F.transform("_s", lambda x: x["token"])
-    examples = F.aggregate(
-        tokens, F.array().cast("array<string>"),
-        lambda acc, t: F.when(F.array_contains(acc, t) | (F.size(acc) >= EXAMPLES_PER_PATH), acc)
-        .otherwise(F.array_append(acc, t)))
-    distinct = F.array_distinct(F.transform("_s", lambda x: F.struct(x["token"].alias("token"), x["vtype"].alias("vtype"),
-                                                                      x["num"].alias("num"))))
-    return out.select(
-        *by, "path", "presence_count", *[f"n_{t}" for t in SCALAR_TYPES], "num_min", "num_max", "num_count",
-        "like_number", "like_date", "like_boolean", examples.alias("examples"),
-        tokens.alias("sample"), distinct.alias("_distinct"),
-        F.size(distinct).alias("n_distinct_sample"), F.size("_s").alias("n_sample"),
+        total(is_num).alias("num_count"),
+        *[total(is_str & sem[f"looks_like_{t}"]).alias(f"like_{t}") for t in ("number", "date", "boolean")],
+        F.count(F.lit(1)).alias("n_distinct"),
     )
+    first = tokens.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "path").orderBy("_o", "token"))).filter(F.col("_r") <= ENUM_MAX_VALUES + 1)
+    first = first.groupBy(*by, "path").agg(F.array_sort(F.collect_list(F.struct("_r", "token", "vtype", "num"))).alias("_distinct"))
+    examples = F.slice(F.transform("_distinct", lambda x: x["token"]), 1, EXAMPLES_PER_PATH)
+    return base.join(first, [*by, "path"]).withColumn("examples", examples)
 
 
 def path_suggestions(stats: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
@@ -184,8 +173,8 @@ def path_suggestions(stats: DataFrame, totals: DataFrame, by: list[str]) -> Data
     counts = F.array(*[F.struct(F.col(f"n_{t}").alias("c"), F.lit(-i).alias("o"), F.lit(t).alias("t"))
                        for i, t in enumerate(SCALAR_TYPES)])
     dominant = F.array_max(counts)["t"]
-    uniq = F.col("n_distinct_sample") / F.col("n_sample")
-    pk = (ratio >= PK_PRESENCE_MIN) & (F.col("n_sample") > 0) & (uniq >= PK_UNIQUE_MIN)
+    uniq = F.col("n_distinct") / F.col("presence_count")
+    pk = (ratio >= PK_PRESENCE_MIN) & (uniq >= PK_UNIQUE_MIN)
     all_num = F.forall("_distinct", lambda x: x["vtype"].isin("integer", "number"))
     by_num = F.transform(F.array_sort(F.transform("_distinct", lambda x: F.struct(x["num"].alias("k"), x["token"].alias("t")))),
                          lambda x: x["t"])
@@ -193,8 +182,8 @@ def path_suggestions(stats: DataFrame, totals: DataFrame, by: list[str]) -> Data
         F.array_sort(F.transform("_distinct", lambda x: F.struct(_python_str(x["vtype"], x["token"]).alias("k"),
                                                                  x["token"].alias("t")))),
         lambda x: x["t"])
-    enum = F.when((ratio >= ENUM_PRESENCE_MIN) & (F.col("n_sample") > 0) &
-                  (F.col("n_distinct_sample") <= ENUM_MAX_VALUES), F.when(all_num, by_num).otherwise(by_text))
+    enum = F.when((ratio >= ENUM_PRESENCE_MIN) & (F.col("n_distinct") <= ENUM_MAX_VALUES),
+                  F.when(all_num, by_num).otherwise(by_text))
     coercion = F.when((F.col("n_string") > 0) & (F.col("like_number") / F.col("n_string") >= COERCION_NUMERIC_MIN),
                       F.lit("strings_mostly_numeric"))
     return j.select(*by, "path", ratio.alias("presence_ratio"), dominant.alias("dominant"),

@@ -186,11 +186,10 @@ with v as (
   union all select o_orderkey, 1000000, 0, 'tags[]', 'string', '"p"', null from orders
   union all select o_orderkey, 1000000, 1, 'tags[]', 'string', '"' || o_orderpriority || '"', null from orders
 ),
-ranked as (select *, row_number() over (partition by path order by k, ln, seq_in) as rn from v),
 s as (select path, count(distinct tok) as nd, count(*) as ns, bool_and(t in ('integer', 'number')) as all_num
-      from ranked where rn <= 500 group by path),
+      from v group by path),
 ev as (select path, string_agg(tok, '|' order by case when s.all_num then num end, tok) as enum_values
-       from (select distinct path, tok, num from ranked where rn <= 500) d join s using (path)
+       from (select distinct path, tok, num from v) d join s using (path)
        group by path),
 p as (select path, count(*) as presence, mode(t) as dominant from v group by path),
 tot as (select count(*) as n from orders)

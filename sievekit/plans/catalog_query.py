@@ -97,6 +97,80 @@ order by o_totalprice desc, o_orderkey asc limit 10
 """
 
 
+def _varied(spark, sf, condition):
+    docs = records_of(render.varied_orders(spark, sf), "json")
+    return execute_query({"filter": condition}, documents=docs).select(fv("k", "bigint").alias("k"))
+
+
+def q_mixed_types(spark, sf):
+    """Literals meet values of their own type only: whole numbers exactly, text and booleans apart from numbers."""
+    over = _varied(spark, sf, {"v": {"$gt": 100}, "big": {"$in": [9007199254740993, 9007199254740995]}}).withColumn("ask", F.lit("number"))
+    text = _varied(spark, sf, {"v": {"$gte": "c5"}}).withColumn("ask", F.lit("text"))
+    return over.union(text).union(_varied(spark, sf, {"v": True}).withColumn("ask", F.lit("truth")))
+
+
+Q_MIXED_TYPES_SQL = """
+select o_orderkey as k, 'number' as ask from orders where o_orderkey % 5 = 0 and o_custkey > 100 and o_orderkey % 10 in (3, 5)
+union all select o_orderkey, 'text' from orders where o_orderkey % 5 = 1 and 'c' || o_custkey >= 'c5'
+union all select o_orderkey, 'truth' from orders where o_orderkey % 5 = 2
+"""
+
+
+def q_missing_field(spark, sf):
+    """null matches null and missing; $exists tells them apart; $ne keeps documents without the field."""
+    asks = {"null": {"v": None}, "absent": {"v": {"$exists": False}}, "unlike": {"v": {"$ne": True}}}
+    parts = [_varied(spark, sf, c).groupBy().agg(F.count(F.lit(1)).alias("n")).withColumn("ask", F.lit(a)) for a, c in asks.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+Q_MISSING_FIELD_SQL = """
+select 'null' as ask, count(*) as n from orders where o_orderkey % 5 in (3, 4)
+union all select 'absent', count(*) from orders where o_orderkey % 5 = 4
+union all select 'unlike', count(*) from orders where o_orderkey % 5 <> 2
+"""
+
+
+def _nested(spark, sf, condition):
+    docs = records_of(render.nested_orders(spark, sf), "json")
+    return execute_query({"filter": condition}, documents=docs).select(F.try_variant_get("_v", "$.order.key", "bigint").alias("k"))
+
+
+def q_array_match(spark, sf):
+    return _nested(spark, sf, {"tags": "1-URGENT"})
+
+
+Q_ARRAY_MATCH_SQL = "select o_orderkey as k from orders where o_orderpriority = '1-URGENT'"
+
+
+def q_dotted_path(spark, sf):
+    return _nested(spark, sf, {"order.status": "F", "lines.qty": {"$gt": 49}})
+
+
+Q_DOTTED_PATH_SQL = """
+select o_orderkey as k from orders where o_orderstatus = 'F'
+and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49)
+"""
+
+
+def damaged_documents(spark, sf):
+    """Fragments by format and outcome over damaged documents: errors are counted, nothing stops."""
+    found = extract_fragments(render.damaged_orders(spark, sf))
+    why = F.when(F.col("reason") == "nested too deeply", "depth").when(F.col("reason").isNotNull(), "damaged").otherwise("sound")
+    return found.groupBy("source_type", why.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+DAMAGED_DOCUMENTS_SQL = """
+select * from (
+  select 'json' as source_type, 'sound' as outcome, count(*) as n from orders where o_orderkey % 6 = 0 or (o_orderkey % 6 = 2 and o_orderkey % 60 <> 2)
+  union all select 'yaml_block', 'damaged', count(*) from orders where o_orderkey % 6 = 1
+  union all select 'kv', 'sound', count(*) from orders where o_orderkey % 6 = 1
+  union all select 'json', 'depth', count(*) from orders where o_orderkey % 60 = 2
+  union all select 'html_table', 'sound', count(*) from orders where o_orderkey % 6 = 4
+  union all select 'json', 'damaged', count(*) from orders where o_orderkey % 6 = 5
+) where n > 0
+"""
+
+
 def entities_q(spark, sf):
     docs = render.table(spark, sf, "documents")
     ner = docs.select("doc_id", entities("text").alias("ner"))
@@ -157,6 +231,11 @@ CATALOG = {
     "q_exists_path": (q_exists_path, Q_EXISTS_PATH_SQL),
     "q_project_sort_limit": (q_project_sort_limit, Q_PROJECT_SORT_LIMIT_SQL),
     "q_topk": (q_topk, Q_TOPK_SQL),
+    "q_mixed_types": (q_mixed_types, Q_MIXED_TYPES_SQL),
+    "q_missing_field": (q_missing_field, Q_MISSING_FIELD_SQL),
+    "q_array_match": (q_array_match, Q_ARRAY_MATCH_SQL),
+    "q_dotted_path": (q_dotted_path, Q_DOTTED_PATH_SQL),
+    "damaged_documents": (damaged_documents, DAMAGED_DOCUMENTS_SQL),
     "entities": (entities_q, ENTITIES_SQL),
     "ner_labels": (ner_labels_q, None),
     "pipeline_summary": (pipeline_summary, PIPELINE_SUMMARY_SQL),

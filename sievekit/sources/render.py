@@ -294,3 +294,30 @@ def two_family_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit("\nminutes: "), (F.col("c_nationkey") * 3).cast("string"), F.lit("\nEnd\n"))
     return c.select(k.alias("doc_id"), F.lit("customers").alias("source_id"), F.lit(1).alias("version"),
                     F.when(k % 2 == 0, account).otherwise(ticket).alias("text"))
+
+
+def varied_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON per order whose field ``v`` changes its type with ``o_orderkey % 5``: integer, number in quotes
+    beyond what typing turns into one, boolean, null, absent.  ``big`` holds whole numbers that doubles can't tell apart."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.col("o_orderkey") % 5
+    v = (F.when(kind == 0, F.concat(F.lit(', "v": '), _num("o_custkey"))).when(kind == 1, F.concat(F.lit(', "v": "c'), _num("o_custkey"), F.lit('"')))
+         .when(kind == 2, F.lit(', "v": true')).when(kind == 3, F.lit(', "v": null')).otherwise(F.lit("")))
+    text = F.concat(F.lit("Note\n"), F.lit('{"k": '), _num("o_orderkey"), v, F.lit(', "big": 900719925474099'), (F.col("o_orderkey") % 10).cast("string"), F.lit("}\n"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.lit("orders").alias("source_id"), text.alias("text"))
+
+
+def damaged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per order, damaged by ``o_orderkey % 6``: 0 sound JSON, 1 a date that doesn't exist in front
+    matter, 2 JSON nested too deeply (every tenth of them, else sound), 3 unclosed tables, 4 a table nested deeply but sound, 5 broken JSON."""
+    o = table(spark, sf_dir, "orders")
+    deep = 20_000
+    kind = F.col("o_orderkey") % 6
+    sound = (kind == 0) | (kind == 2) & (F.col("o_orderkey") % 60 != 2)
+    text = (F.when(sound, F.concat(F.lit('{"k": '), _num("o_orderkey"), F.lit("}\n")))
+            .when(kind == 1, F.lit("---\nd: 2024-02-30\ne: 1\n---\nend\n"))
+            .when(kind == 2, F.concat(F.repeat(F.lit('{"a":'), deep), F.lit("1"), F.repeat(F.lit("}"), deep), F.lit("\n")))
+            .when(kind == 3, F.repeat(F.lit("<table><tr><td>x "), 50))
+            .when(kind == 4, F.concat(F.lit("<table>"), F.repeat(F.lit("<div>"), 3000), F.lit("<tr><td>"), _num("o_orderkey"), F.lit("</td></tr></table>\n")))
+            .otherwise(F.lit('{"a" 1}\n')))
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.lit("orders").alias("source_id"), text.alias("text"))
