@@ -197,35 +197,3 @@ def semantics(x) -> Column:
         is_iso_date_string(x).alias("looks_like_date"),
         is_boolean_string(x).alias("looks_like_boolean"),
     )
-
-
-def jtype_of_variant(v) -> Column:
-    """Rule T1 on a VARIANT value: logical type name from ``schema_of_variant``."""
-    s = F.schema_of_variant(_c(v))
-    return (
-        F.when(_c(v).isNull(), F.lit("null"))
-        .when(s == "VOID", F.lit("null"))
-        .when(s == "BOOLEAN", F.lit("boolean"))
-        .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("integer"))
-        .when(s.startswith("DECIMAL") & s.endswith(",0)"), F.lit("integer"))
-        .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), F.lit("number"))
-        .when(s == "STRING", F.lit("string"))
-        .when(s.startswith("OBJECT"), F.lit("object"))
-        .when(s.startswith("ARRAY"), F.lit("array"))
-        .otherwise(F.lit("unknown"))
-    )
-
-
-def jtype_of_token(token) -> Column:
-    """Logical type of a JSON token text (used when only the token is at hand)."""
-    t = _c(token)
-    return (
-        F.when(t.isNull() | (t == "null"), F.lit("null"))
-        .when(t.isin("true", "false"), F.lit("boolean"))
-        .when(t.rlike(r"^-?[0-9]+$"), F.lit("integer"))
-        .when(t.rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"), F.lit("number"))
-        .when(t.startswith('"'), F.lit("string"))
-        .when(t.startswith("{"), F.lit("object"))
-        .when(t.startswith("["), F.lit("array"))
-        .otherwise(F.lit("unknown"))
-    )

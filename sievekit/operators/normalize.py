@@ -151,7 +151,10 @@ def long_fields(records: DataFrame, keep=("source_id", "record_id", "ord", "sour
         *keep, "pos", F.col("f.name").alias("name"), F.col("f.jtype").alias("jtype"), F.col("f.token").alias("token"))
 
 
-def normalize_fragment(fragments: DataFrame) -> DataFrame:
-    """Rule N2 (one-fragment form): normalised fields, or the original entries when nothing came out."""
-    recs = build_records(fragments)
-    return recs
+def normalize_fragment(fragments: DataFrame, key_cols=("doc_id", "source_id")) -> DataFrame:
+    """Rule N2 (one-fragment form): each fragment with ``content``, its normalised records in order, or its
+    original text when nothing came out."""
+    rows = build_records(fragments, key_cols).groupBy(*key_cols, "fragment_id").agg(
+        F.array_sort(F.collect_list(F.struct("row_index", "data"))).alias("_rows"))  # a fragment's own rows
+    return fragments.join(rows, [*key_cols, "fragment_id"], "left").withColumn(
+        "content", F.coalesce(F.transform("_rows", lambda r: r["data"]), F.array("raw"))).drop("_rows")

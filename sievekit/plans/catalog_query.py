@@ -192,6 +192,14 @@ def ner_labels_q(spark, sf):
     return docs.select("doc_id", F.array_join(ner_labels(entities("text")), ",").alias("labels")).filter("labels <> ''")
 
 
+_HAS = ", ".join(f"""case when regexp_matches(text, '{pat.replace(chr(92) + '"', '"')}') then '{label}' end""" for label, pat in DEFAULT_PATTERNS.items())
+NER_LABELS_SQL = f"""
+select * from (
+  select doc_id, array_to_string(list_sort(list_filter([{_HAS}], lambda x : x is not null)), ',') as labels from documents)
+where labels <> ''
+"""
+
+
 def pipeline_summary(spark, sf):
     return run_pipeline(render.mixed_customers(spark, sf)).select(
         "source_id", "documents", "json_fragments", "kv_pairs", "html_tables", "csv_blocks", "yaml_blocks",
@@ -237,7 +245,7 @@ CATALOG = {
     "q_dotted_path": (q_dotted_path, Q_DOTTED_PATH_SQL),
     "damaged_documents": (damaged_documents, DAMAGED_DOCUMENTS_SQL),
     "entities": (entities_q, ENTITIES_SQL),
-    "ner_labels": (ner_labels_q, None),
+    "ner_labels": (ner_labels_q, NER_LABELS_SQL),
     "pipeline_summary": (pipeline_summary, PIPELINE_SUMMARY_SQL),
     "corpus_fragments": (corpus_fragments, None),
     "pages_fragments": (pages_fragments, None),

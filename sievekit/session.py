@@ -1,14 +1,10 @@
-"""Spark session helpers.
-
-The library never changes cluster-wide settings it finds already set: a
-checkpoint directory given by the cluster (``spark.checkpoint.dir``) is used
-as is; only an unset one gets a local default, which is what tests need.
-"""
+"""Spark session for tests and local benchmarks. Jobs that write between steps use the cluster's ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,25 +26,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory, setting a local one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="sievekit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return configured
-
-
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint directory (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/sievekit-shared"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
