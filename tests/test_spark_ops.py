@@ -73,3 +73,23 @@ def test_query_errors_and_limit_zero(spark):
     docs = t.select(F.parse_json(F.to_json(F.struct("k", "s"))).alias("_v"))
     assert execute_query({"filter": {}, "limit": 0}, documents=docs).count() == 2
     assert execute_query({"filter": {"k": {"$gt": 1}}}, documents=docs).count() == 1
+
+
+def test_document_conditions_compare_like_with_like(spark):
+    data = ['{"k":1,"a":2000}', '{"k":2,"a":"2000"}', '{"k":3,"a":true}', '{"k":4,"a":null}', '{"k":5}', '{"k":6,"a":[1,2000]}',
+            '{"k":7,"a":9007199254740993}', '{"k":8,"a":2000.0}', '{"k":9,"i":[{"s":"x"},{"s":"y"}]}']
+    docs = spark.createDataFrame([(d,) for d in data], "d string").selectExpr("parse_json(d) AS _v")
+
+    def asked(condition, **more):
+        rows = execute_query({"filter": condition, **more}, documents=docs).selectExpr("variant_get(_v, '$.k', 'int') AS k").collect()
+        return [r.k for r in rows]
+
+    assert sorted(asked({"a": 2000})) == [1, 6, 8] and asked({"a": "2000"}) == [2] and asked({"a": True}) == [3]
+    assert sorted(asked({"a": {"$gt": 1000}})) == [1, 6, 7, 8] and asked({"a": 9007199254740992}) == []
+    assert sorted(asked({"a": {"$in": [2000, "2000", "zz"]}})) == [1, 2, 6, 8]
+    assert sorted(asked({"a": None})) == [4, 5, 9] and sorted(asked({"a": {"$exists": False}})) == [5, 9]
+    assert asked({"i.s": "y"}) == [9] and asked({"a": {"$like": "20%"}}) == [2]
+    assert 3 in asked({"a": {"$ne": 2000}}) and 6 not in asked({"a": {"$ne": 2000}})
+    assert asked({"a": {"$exists": True}}, sort=[["a", 1]])[:4] == [4, 1, 8, 7]
+    assert len(asked({})) == 9 and len(asked({}, limit=3)) == 3
+    assert len(execute_query({"filter": {}, "limit": 5}, documents=docs, limits=(2, 3)).collect()) == 3
