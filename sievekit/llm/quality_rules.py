@@ -28,6 +28,7 @@ SIGNS = [",", ".", "!", "?", "'\"`’“”«»", "-–—_", "()[]{}", "#*$%&|<
 SIZE = 28 + len(SIGNS) + 4
 ORDER = 4
 MODEL_BYTES = 64 << 20
+MOST_LANGUAGES = 10_000  # bands of so many languages at most are broadcast, three numbers each
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 #: Half-width of the bands in log perplexity: this many times the distance from the median to the outer decile, and this at least.
@@ -232,6 +233,8 @@ def quality_rules(docs: DataFrame, carry: list[str], width: float = WIDTH, least
     q = F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("q")
     half = lambda i, j: F.greatest(F.lit(least_width), F.lit(width) * (F.col("q")[i] - F.col("q")[j]))
     bands = passed.groupBy("_lang").agg(q).select(F.col("_lang").alias("_l"), (F.col("q")[1] - half(1, 0)).alias("low"), (F.col("q")[1] + half(2, 1)).alias("high"))
-    both = got.join(bands, F.col("_lang") == F.col("_l"), "left")
+    bands = stored(bands)  # a row a language
+    small = bands.count() <= MOST_LANGUAGES  # then texts needn't be moved to their language's task
+    both = got.join(F.broadcast(bands) if small else bands, F.col("_lang") == F.col("_l"), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return both.select(*carry, *COUNTS, "base_failed", F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("low_perplexity"), F.exp("high").alias("high_perplexity"), (~F.col("base_failed") & inside).alias("kept"))
