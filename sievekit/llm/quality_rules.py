@@ -1,11 +1,11 @@
 """Quality rules and a perplexity filter (operator 6).
 
-The model is a modified Kneser-Ney model of characters of order 4 for each language. Characters are folded to ALPHABET, so a
-language has at most len(ALPHABET classes)^4 n-grams, whatever the corpus: that is the bound on what is broadcast. Spark counts the
-n-grams of all texts; each language's counts become a model in one row: sorted n-gram codes with their log probabilities, and the
-lower order with the back-off weights for unseen n-grams. Models are collected and broadcast in groups of languages under MODEL_BYTES; each
-group scores the texts of its languages. A language's bands lie around the median log perplexity of the texts that pass the base
-rules; texts outside are rejected.
+The model is an interpolated Kneser-Ney model of word bigrams for each language, over all bigrams of the corpus (see word_counts.py: it
+grows with the input and is never broadcast). Its lowest order spells words by a modified Kneser-Ney model of characters of order 4, folded
+to SIZE classes: at most SIZE^4 n-grams a language, which bounds what is broadcast. Spark counts the character n-grams of all texts; each language's counts become a
+model in one row: sorted n-gram codes with their log probabilities, and the lower order with the back-off weights for unseen n-grams. They are collected and
+broadcast in groups of languages under MODEL_BYTES; each group scores the texts of its languages. A text is scored without its own counts and those of its
+exact copies. A language's bands lie around the median log perplexity (nats a word or sign) of the texts that pass the base rules; texts outside are rejected.
 
 Null text has no words and fails the base rules (n_words < 50); its perplexity is null. Null lang is a language of its own. Repeated rows
 are judged alike. The columns to carry through are named by the caller; others of the table are not read.
@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sievekit.llm import word_counts
 from sievekit.llm.common import small_batches, stored, word_hashes
 
 #: Classes of characters: blank, a-z (accents dropped, lower case), digits, signs, other signs, other letters in three classes.
@@ -57,8 +58,8 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
-def codes(text: str) -> np.ndarray:
-    """The code of the n-gram that ends at each character; runs of blanks count once, blanks stand before the text."""
+def classes(text: str) -> np.ndarray:
+    """The class of each character."""
     c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     s = CLASS[np.minimum(c, len(CLASS) - 1)]
     far = c >= len(CLASS)
@@ -68,7 +69,21 @@ def codes(text: str) -> np.ndarray:
             for ch in sign:
                 if ord(ch) >= len(CLASS):
                     s[c == ord(ch)] = 28 + i
-    s = s[(s > 0) | (np.concatenate(([0], s[:-1])) > 0)]
+    return s
+
+
+def counted(s: np.ndarray) -> np.ndarray:
+    """Marks the characters that count: of a run of blanks only the first."""
+    return (s > 0) | (np.concatenate(([0], s[:-1])) > 0)
+
+
+def codes(text: str) -> np.ndarray:
+    """The code of the n-gram that ends at each character; runs of blanks count once, blanks stand before the text."""
+    s = classes(text)
+    return codes_of(s[counted(s)])
+
+
+def codes_of(s: np.ndarray) -> np.ndarray:
     padded = np.concatenate((np.zeros(ORDER - 1, np.int64), s))
     out = np.zeros(len(s), np.int64)
     for j in range(ORDER):
@@ -156,9 +171,13 @@ class Scorer:
             self.tables[lang] = full
         return self.tables[lang]
 
-    def mean(self, lang: str, text: str) -> float | None:
-        c = codes(text)
-        return float(self.table(lang)[c].mean(dtype=np.float64)) if len(c) else None
+    def spelled(self, lang: str, text: str) -> np.ndarray:
+        """Log probability of the characters before each place of the text."""
+        s = classes(text)
+        at = counted(s)
+        p = np.zeros(len(s) + 1)
+        p[1:][at] = self.table(lang)[codes_of(s[at])]
+        return np.cumsum(p)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -200,27 +219,31 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
             size = 0
         groups[-1].append(lang)
         size += n
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    answered = word_counts.answered(docs.select(*carry, F.col("text").alias("_text"), "_lang"))
     out = None
-    for group in groups:
+    for part, group in enumerate(groups):
         mine = F.col("lang").isin(group) if len(groups) > 1 else F.lit(True)
         rows = spark.sparkContext.broadcast({r[0]: tuple(map(bytes, r[1:])) for r in model.filter(mine).collect()})
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], rows=rows, part=part) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(rows.value)
-            for b in batches:
+            for b, own, totals in word_counts.chunks(batches):
                 text, lang = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-                base = np.array([base_counts(t or "") for t in text], np.int64).reshape(-1, 5)
+                # a text without words needs no model, and its language may have none
+                at = [i for i, g in enumerate(lang) if (g in rows.value if own.sizes[i] else part == 0)]
+                if not at:
+                    continue
+                spelled = own.spellings([scorer.spelled(g, t) if n and g in rows.value else None for g, t, n in zip(lang, own.lowered, own.sizes)])
+                ppl = pa.array(own.log_perplexities(totals, spelled)[at], pa.float64(), from_pandas=True)
+                b = b.take(pa.array(at))
+                base = np.array([base_counts(text[i] or "") for i in at], np.int64).reshape(-1, 5)
                 failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
-                mean = [scorer.mean(i, t or "") for i, t in zip(lang, text)]
-                ppl = pa.array([None if m is None else -m for m in mean], pa.float64())
-                yield pa.record_batch([*b.columns[:-2], pa.array(lang, pa.string()), *(pa.array(c) for c in base.T), pa.array(failed), ppl], names=[*carry, "_lang", *COUNTS, "base_failed", "log_perplexity"])
-
-        kept = docs.select(*carry, F.col("text").alias("_text"), "_lang")
-        kept = kept.filter(F.col("_lang").isin(group)) if len(groups) > 1 else kept
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-        got = kept.mapInArrow(run, f"{schema}, _lang string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, log_perplexity double")
+                yield pa.record_batch([*b.columns[:-2], b.column(b.num_columns - 1), *(pa.array(c) for c in base.T), pa.array(failed), ppl], names=[*carry, "_lang", *COUNTS, "base_failed", "log_perplexity"])
+
+        got = answered.mapInArrow(run, f"{schema}, _lang string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, log_perplexity double")
         out = got if out is None else out.unionByName(got)
-    return out
+    return stored(out)  # read twice: for the bands and for the verdicts
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -229,7 +252,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def quality_rules(docs: DataFrame, carry: list[str], width: float = WIDTH, least_width: float = LEAST_WIDTH) -> DataFrame:
     """The carried columns of docs with base counts, base_failed, perplexity, its language's bands and the verdict `kept`."""
     got = scored(docs, carry)
-    passed = stored(got.filter("not base_failed").select("_lang", "log_perplexity"))
+    passed = got.filter("not base_failed").select("_lang", "log_perplexity")
     q = F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("q")
     half = lambda i, j: F.greatest(F.lit(least_width), F.lit(width) * (F.col("q")[i] - F.col("q")[j]))
     bands = passed.groupBy("_lang").agg(q).select(F.col("_lang").alias("_l"), (F.col("q")[1] - half(1, 0)).alias("low"), (F.col("q")[1] + half(2, 1)).alias("high"))

@@ -1,0 +1,243 @@
+"""Word bigram counts of a whole corpus, and Kneser-Ney log perplexities from them (part of operator 6).
+
+The counts grow with the corpus, so no machine holds them all and nothing is broadcast. Texts are written as chunks of about CHUNK bytes. A
+chunk asks for the totals of its distinct keys (64-bit hashes of language and n-gram): it sends its own sums, as sorted arrays split by hash range;
+each range adds up the sums of all chunks and answers every chunk in the chunk's own order. A key lies in a chunk's question once, so
+a frequent word loads its range by one entry a chunk.
+
+Two rounds are asked: first c(vw), c(w) and the number of exact copies of each text; then, with those, t(v) and n(w), the numbers of distinct words
+behind v and before w. A bigram that stands k times in a chunk is the k/c-th part of one distinct bigram, so these are sums as well; so are
+each language's numbers of distinct bigrams and words, and of those seen once and twice, which give the discounts d = n1 / (n1 + 2 n2).
+
+    p(w|v) = (max(c(vw) - d, 0) + d t(v) p(w)) / c(v)        p(w) = (max(n(w) - e, 0) + e V spell(w)) / T
+
+for d of the bigrams, e of the words, V distinct words, T distinct bigrams, spell(w) from the model of characters. What only the text itself and its
+exact copies contribute is taken off c, t and n first: a text doesn't predict itself. A word is a run of letters, digits and marks in lower case; a sign
+and a character of the scripts without blanks stand alone. A mark stands before and behind the text.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, functions as F
+
+from sievekit.llm.common import POWERS, mixed, prefix_hashes, stored, text_hash
+
+CHUNK = 2 << 20
+RANGE_BYTES = 8 << 20  # of text, for each hash range
+EDGE = np.uint64(0xD1B54A32D192ED03)  # the mark before and behind a text
+END = 1e-3  # what the lowest order gives the mark behind a text
+PAIR, CONTEXT, TARGET = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+ANSWERS = "chunk string, part int, answer binary"
+
+
+def _kinds() -> np.ndarray:
+    """0 blank, 1 stands alone, 2 part of a word."""
+    kind = np.ones(0x110000, np.uint8)
+    for c in range(0x10000):
+        cat = unicodedata.category(chr(c))
+        alone = 0x2E80 <= c < 0xA000 or 0x0E00 <= c < 0x1000 or 0x1780 <= c < 0x1800
+        kind[c] = 0 if cat[0] == "Z" or cat == "Cc" else 2 if cat[0] in "LNM" and not alone else 1
+    return kind
+
+
+KIND = _kinds()
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (with a blank behind) of the words of a text in lower case."""
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kind = KIND[c]
+    before = np.concatenate(([0], kind[:-1]))
+    start = np.flatnonzero((kind == 1) | ((kind == 2) & (before != 2)))
+    behind = np.concatenate((kind[1:], [0]))
+    end = np.flatnonzero((kind == 1) | ((kind == 2) & (behind != 2))) + 1
+    p = prefix_hashes(c)
+    h = mixed((p[end] - p[start]) * POWERS.down[start])
+    return h, start, end + (np.concatenate((kind, [1]))[end] == 0)
+
+
+class Chunk:
+    """The words of a chunk's texts, numbered, and the keys whose totals it asks for."""
+
+    def __init__(self, texts: list[str | None], langs: list[str]) -> None:
+        self.lowered = [(t or "").lower() for t in texts]
+        salt = np.array([text_hash((g or "").encode()) + (1 << 63) for g in langs], np.uint64)
+        copy = np.array([text_hash(t.encode("utf-8", "replace")) + (1 << 63) for t in self.lowered], np.uint64)
+        found = [words(t) for t in self.lowered]
+        self.spans = [f[1:] for f in found]
+        w = [np.append(mixed(f[0] ^ s), EDGE ^ s) if len(f[0]) else f[0] for f, s in zip(found, salt)]
+        self.sizes = np.array([len(x) for x in w], np.int64)
+        self.text = np.repeat(np.arange(len(w)), self.sizes)  # of each word
+        self.ends = np.cumsum(self.sizes)
+        w = np.concatenate([*w, np.zeros(0, np.uint64)])
+        self.words, self.w = np.unique(w, return_inverse=True)
+        self.v = self.before(self.w)
+        self.pairs, self.vw, self.n_vw = np.unique(mixed(self.words[self.v] * PAIR + w), return_inverse=True, return_counts=True)
+        self.salts, self.lang = np.unique(salt, return_inverse=True)
+        self.copies, self.copy, self.n_copy = np.unique(mixed(copy ^ salt), return_inverse=True, return_counts=True)
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """x of the word before each word; the mark before a text is the one behind it."""
+        out = np.roll(x, 1)
+        full = self.sizes > 0
+        out[(self.ends - self.sizes)[full]] = x[self.ends[full] - 1]
+        return out
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and sums of the first round."""
+        keys = np.concatenate((self.pairs, self.words, self.copies))
+        return keys, np.concatenate((self.n_vw, np.bincount(self.w, minlength=len(self.words)), self.n_copy)).astype(float)
+
+    def second(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and sums of the second round; totals: of the first."""
+        self.c, self.cw, self.m = np.split(totals, np.cumsum([len(self.pairs), len(self.words)]))
+        c, cw, lang = self.c[self.vw], self.cw[self.w], self.lang[self.text]
+        keys, n = [mixed(self.words * CONTEXT), mixed(self.words * TARGET)], [np.bincount(x, 1 / c, len(self.words)) for x in (self.v, self.w)]
+        for j, x in enumerate([1 / c, c == 1, (c == 2) / 2, 1 / cw, cw == 1, (cw == 2) / 2]):
+            keys.append(mixed(self.salts + np.uint64(j)))
+            n.append(np.bincount(lang, x, len(self.salts)))
+        return np.concatenate(keys), np.concatenate(n)
+
+    def log_perplexities(self, totals: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Of each text (NaN without words), from the totals of the second round and the log probability of each word's spelling."""
+        k = len(self.words)
+        t, n, stats = totals[:k], totals[k : 2 * k], totals[2 * k :].reshape(6, -1)
+        m = self.m[self.copy][self.text]
+        # what the text has itself: its distinct words and distinct bigrams
+        _, q, n_q = np.unique(self.text * k + self.w, return_inverse=True, return_counts=True)
+        _, at, p, n_p = np.unique(self.text * len(self.pairs) + self.vw, return_index=True, return_inverse=True, return_counts=True)
+        c = self.c[self.vw] - m * n_p[p]
+        only = c[at] < 0.5
+        vq = self.before(q)
+        cv = self.cw[self.v] - m * n_q[vq]
+        t = np.rint(t[self.v] - np.bincount(vq[at], only, len(n_q))[vq])
+        n = np.rint(n[self.w] - np.bincount(q[at], only, len(n_q))[q])
+        bigrams, b1, b2, kinds, w1, w2 = stats
+        d, e = (np.clip((x + 1) / (x + 2 * y + 2), 0.1, 0.9)[self.lang[self.text]] for x, y in ((b1, b2), (w1, w2)))
+        low = (np.maximum(n - e, 0) + e * kinds[self.lang[self.text]] * np.exp(spelled)) / bigrams[self.lang[self.text]]
+        p = np.where(cv > 0.5, (np.maximum(c - d, 0) + d * t * low) / np.maximum(cv, 1), low)
+        total = np.bincount(self.text, -np.log(np.maximum(p, 1e-300)), len(self.sizes))
+        return np.divide(total, self.sizes, out=np.full(len(total), np.nan), where=self.sizes > 0)
+
+    def spellings(self, spelled: list[np.ndarray | None]) -> np.ndarray:
+        """Log probability of each word's spelling, from the sums along each text (None: the text isn't scored)."""
+        out = [np.zeros(n) if x is None else np.append(x[end] - x[start], np.log(END))[:n] for x, (start, end), n in zip(spelled, self.spans, self.sizes)]
+        return np.concatenate([*out, np.zeros(0)])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Bytes in planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpacked(z: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def unchunked(blob: bytes) -> tuple[pa.RecordBatch, Chunk]:
+    with pa.ipc.open_stream(blob) as f:
+        b = f.read_all().combine_chunks().to_batches()[0]
+    return b, Chunk(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, size, blob) of docs (..., text, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                f.write_table(t)
+            return pa.record_batch([[uuid.uuid4().hex], [size], [sink.getvalue().to_pybytes()]], names=["chunk", "size", "blob"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+                if size >= CHUNK:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    return docs.mapInArrow(run, "chunk string, size long, blob binary")
+
+
+def each(b: pa.RecordBatch) -> Iterator[dict]:
+    return (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows))
+
+
+def asked(chunks: DataFrame, parts: int, second: bool) -> DataFrame:
+    """(chunk, part, keys, own): a chunk's sums, split by hash range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in each(b):
+                _, c = unchunked(r["blob"])
+                keys, own = c.first()
+                if second:
+                    keys, own = c.second(totals(r["answers"], keys))
+                at = np.argsort(keys, kind="stable")
+                keys, own = keys[at], own[at]
+                cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+                for j in range(parts):
+                    if cut[j] < cut[j + 1]:
+                        k, n = keys[cut[j] : cut[j + 1]], own[cut[j] : cut[j + 1]]
+                        step = np.diff(k, prepend=np.uint64(0))
+                        n = n.astype("<f4")  # a chunk's counts are exact so, its fractions good to 1e-7
+                        yield pa.record_batch([[r["chunk"]], pa.array([j], pa.int32()), [packed(step)], [packed(n)]], names=["chunk", "part", "keys", "own"])
+
+    return chunks.mapInArrow(run, "chunk string, part int, keys binary, own binary")
+
+
+def added(rows: pd.DataFrame) -> pd.DataFrame:
+    """The totals of a hash range, answered to each chunk in its own order."""
+    keys = [np.cumsum(unpacked(z, "<u8"), dtype=np.uint64) for z in rows["keys"]]
+    k, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate([unpacked(z, "<f4") for z in rows["own"]]), len(k))
+    ends = np.cumsum([0, *map(len, keys)])
+    answer = [packed(total[at[i:j]]) for i, j in zip(ends[:-1], ends[1:])]
+    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "answer": answer})
+
+
+def totals(answers: list[dict] | None, keys: np.ndarray) -> np.ndarray:
+    """The answers in the order of the keys, which were sent sorted."""
+    out = np.zeros(len(keys))
+    out[np.argsort(keys, kind="stable")] = np.concatenate([np.zeros(0), *(unpacked(a["answer"], "<f8") for a in sorted(answers or [], key=lambda a: a["part"]))])
+    return out
+
+
+def with_answers(chunks: DataFrame, parts: int, second: bool, name: str) -> DataFrame:
+    got = asked(chunks, parts, second).groupBy("part").applyInPandas(added, ANSWERS)
+    got = stored(got.groupBy("chunk").agg(F.collect_list(F.struct("part", "answer")).alias(name)))
+    return chunks.join(got, "chunk", "left")
+
+
+def answered(docs: DataFrame) -> DataFrame:
+    """(chunk, size, blob, answers, answers2) of docs (..., text, lang)."""
+    rows = stored(chunked(docs))
+    parts = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
+    once = with_answers(rows, parts, False, "answers")
+    return with_answers(once, parts, True, "answers2")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk, np.ndarray]]:
+    """The rows of each chunk, its words and the totals of the second round."""
+    for b in batches:
+        for r in each(b):
+            rows, c = unchunked(r["blob"])
+            keys, _ = c.second(totals(r["answers"], c.first()[0]))
+            yield rows, c, totals(r["answers2"], keys)
