@@ -32,9 +32,10 @@ MODEL_BYTES = 64 << 20
 MOST_LANGUAGES = 10_000  # bands of so many languages at most are broadcast, three numbers each
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
-#: Half-width of the bands in log perplexity: this many times the distance from the median to the outer decile, and this at least.
-WIDTH = 4.0
-LEAST_WIDTH = 0.7
+#: Widths of the bands in log perplexity below and above the median: so many times the distance to the outer decile on that side, which counts as
+#: LEAST_SHARE of the distance between the deciles at least. Chosen by labelled and damaged documents of sf0.1; README has the rates.
+WIDTHS = (2.0, 4.0)
+LEAST_SHARE = 0.1
 
 
 def _classes() -> np.ndarray:
@@ -249,13 +250,14 @@ def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, carry: list[str], width: float = WIDTH, least_width: float = LEAST_WIDTH) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: list[str], widths: tuple[float, float] = WIDTHS) -> DataFrame:
     """The carried columns of docs with base counts, base_failed, perplexity, its language's bands and the verdict `kept`."""
     got = scored(docs, carry)
     passed = got.filter("not base_failed").select("_lang", "log_perplexity")
     q = F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("q")
-    half = lambda i, j: F.greatest(F.lit(least_width), F.lit(width) * (F.col("q")[i] - F.col("q")[j]))
-    bands = passed.groupBy("_lang").agg(q).select(F.col("_lang").alias("_l"), (F.col("q")[1] - half(1, 0)).alias("low"), (F.col("q")[1] + half(2, 1)).alias("high"))
+    spread = lambda i, j: F.col("q")[i] - F.col("q")[j]
+    half = lambda width, i, j: F.lit(width) * F.greatest(spread(i, j), F.lit(LEAST_SHARE) * spread(2, 0))
+    bands = passed.groupBy("_lang").agg(q).select(F.col("_lang").alias("_l"), (F.col("q")[1] - half(widths[0], 1, 0)).alias("low"), (F.col("q")[1] + half(widths[1], 2, 1)).alias("high"))
     bands = stored(bands)  # a row a language
     small = bands.count() <= MOST_LANGUAGES  # then texts needn't be moved to their language's task
     both = got.join(F.broadcast(bands) if small else bands, F.col("_lang") == F.col("_l"), "left")

@@ -68,3 +68,29 @@ def test_op6_knows_words_and_their_order(spark, letters):
     respelled = [["".join(rng.sample(w, len(w))) for w in t] for t in clean[3:6]]
     got = judged(spark, [(" ".join(t), "xx") for t in [*clean[6:], *shuffled, *respelled]])
     assert min(r["perplexity"] for r in got[74:]) > 3 * max(r["perplexity"] for r in got[:74])
+
+
+def without_repeats(rng, words):
+    """Words drawn at random so that no run of three comes twice: little choice, yet the base rules pass."""
+    out, seen = rng.choices(words, k=2), set()
+    while free := [w for w in words if (*out[-2:], w) not in seen]:
+        out.append(rng.choice(free))
+        seen.add(tuple(out[-3:]))
+    return out
+
+
+def test_op6_bands_reject_both_ends_and_keep_clean_texts(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(2000)]
+    clean = [rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=rng.randint(80, 400)) for _ in range(300)]
+    damaged = [[w if rng.random() > 0.5 else "".join(rng.sample(w, len(w))) for w in t] for t in clean[:5]]
+    foreign = [["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(100)] for _ in range(5)]
+    low = [t for t in (without_repeats(rng, words[:6]) for _ in range(30)) if len(t) >= 60][:5]
+    assert len(low) == 5
+    texts = [(" ".join(t), "xx") for t in [*clean[5:], *damaged, *foreign, *low]]
+    got = judged(spark, texts)
+    assert not any(r["base_failed"] for r in got)
+    assert sum(r["kept"] for r in got[:295]) >= 292
+    assert not any(r["kept"] for r in got[295:])
+    assert all(r["perplexity"] > r["high_perplexity"] for r in got[295:305]) and all(r["perplexity"] < r["low_perplexity"] for r in got[305:])
