@@ -9,7 +9,9 @@ from sievekit.llm import piece_transducer, quality_classifier, toxicity
 from sievekit.llm.common import documents, labels
 from sievekit.llm.fingerprint import fingerprints
 from sievekit.llm.minhash import near_duplicates
+from sievekit.llm.multi_index import nearest
 from sievekit.llm.packing import pack
+from sievekit.llm.periodic_runs import periodic_runs, planted, run_digests
 from sievekit.llm.quality_rules import quality_rules
 from sievekit.llm.sentence_dedup import sentence_dedup
 from sievekit.llm.suffix_dedup import suffix_dedup
@@ -82,6 +84,16 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, with runs planted in every tenth: numbers, the strongest, digests."""
+    return run_digests(periodic_runs(documents(spark, sf_dir), before=planted))
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found to every twentieth vector."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_ordinal_quality": (op1_ordinal_quality, None),
     "op2_viterbi_counts": (op2_viterbi_counts, None),
@@ -93,4 +105,6 @@ QUERIES = {
     "op8_sos_packing": (op8_sos_packing, None),
     "op9_bloom_lookup_fingerprints": (op9_bloom_lookup_fingerprints, None),
     "op10_bbit_minhash": (op10_bbit_minhash, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_multi_index": (op13_multi_index, None),
 }
