@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievekit.llm import piece_transducer, quality_classifier, toxicity
+from sievekit.llm import alignment, piece_transducer, quality_classifier, toxicity
 from sievekit.llm.common import documents, labels
 from sievekit.llm.fingerprint import fingerprints
 from sievekit.llm.minhash import near_duplicates
@@ -84,6 +84,11 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and counts of two tokenizers over every document."""
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, with runs planted in every tenth: numbers, the strongest, digests."""
     return run_digests(periodic_runs(documents(spark, sf_dir), before=planted))
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_sos_packing": (op8_sos_packing, None),
     "op9_bloom_lookup_fingerprints": (op9_bloom_lookup_fingerprints, None),
     "op10_bbit_minhash": (op10_bbit_minhash, None),
+    "op11_fragment_alignment": (op11_fragment_alignment, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_multi_index": (op13_multi_index, None),
 }
