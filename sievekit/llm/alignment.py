@@ -11,7 +11,8 @@ rounds of grouping; a round carries counts, pairs and the open ends, no text. Th
 fragments in order, one at a time. Shorter texts are one range and are aligned where they are read.
 
 Both tokenizers are cut at a blank between two characters that are no white space: A's pattern never goes on across it, and B has no piece with a
-blank behind another character (a vocabulary that has one is refused). Parts between such blanks recur, and their alignments are kept at hand.
+blank behind another character (a vocabulary that has one is refused). Parts between such blanks recur: a batch of texts encodes and aligns each
+distinct part once, all of them in one pass over arrays.
 
 Counts are sums over documents, taken in the tasks first. They go back to the documents as a sorted array that is broadcast up to
 MOST_PAIRS pairs (16 bytes each), and beyond that by a join of each document's distinct pairs, which Spark splits where a pair is
@@ -24,10 +25,12 @@ Rows that share a doc_id are documents of their own. Only doc_id and text are re
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,8 @@ from sievekit.llm.common import small_batches, stored
 
 RANGE = 64 << 10
 FAN = 16
-MEMO = 150_000
+TOGETHER = 3 << 20  # bytes of texts whose parts are aligned at once
+PLAIN = 10_000
 MOST_PAIRS = 4 << 20
 HELD = 4 << 20  # pairs that a task holds before it sums them
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -98,8 +102,29 @@ def shown(groups: list[Group]) -> str:
     return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
 
 
+#: Fixed value: how the byte-level model of the public file cuts texts into words.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def lengths(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (n[i] of them) for each i, one after another."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class Parts:
+    """Alignments of distinct parts of texts: of each part its tokens, groups, groups as text, and links as a slice of `links`."""
+
+    def __init__(self, n: np.ndarray, shown: list[bytes], links: np.ndarray, first: np.ndarray, n_links: np.ndarray, bad: np.ndarray) -> None:
+        self.n, self.shown, self.links, self.first, self.n_links, self.bad = n, shown, links, first, n_links, bad
+
+
 class Aligner:
-    def __init__(self, path_a: str, path_b: str, memo: int = MEMO) -> None:
+    def __init__(self, path_a: str, path_b: str) -> None:
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -107,9 +132,19 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         decode = byte_decoder()
-        self.bytes_a = {}
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.bytes_a[i] = bytes(decode[c] for c in token)
+        vocabulary = {bytes(decode[c] for c in token): i for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in decode for c in token)}
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        of = model["vocab"]
+        # the same model as ranks, which is faster: where ids are in the order of the merges
+        self.ranks = None
+        if [of[m] for m in merges] == list(range(256, 256 + len(merges))):
+            bpe = {k: v for k, v in vocabulary.items() if v < 256 + len(merges)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=bpe, special_tokens={})
+        self.bytes_a = [b""] * (1 + max(of.values(), default=0))
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = token
         self.width = self.b.get_piece_size()
         self.bytes_b = []
         for i in range(self.width):
@@ -117,82 +152,123 @@ class Aligner:
             if BLANK in piece.lstrip(BLANK):
                 raise ValueError("a piece holds a blank behind another character: texts can't be cut at blanks")
             self.bytes_b.append(bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace(BLANK, " ").encode())
-        self.memo: dict[str, tuple] = {}
-        self.most = memo
-
-    def encoded(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        return [(x.ids, y) for x, y in zip(a, self.b.encode(parts, num_threads=1))]
-
-    def groups(self, part: str, a: list[int], b: list[int]) -> list[Group] | None:
-        """The groups of a part of a text with the blank before it; None if the tokens don't spell it."""
-        of_a, of_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        raw = b" " + part.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        out, i, j, start_a, start_b, x, y = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            x, i = x + len(of_a[i]), i + 1
-            while y < x:
-                y, j = y + len(of_b[j]), j + 1
-            if x == y:
-                out.append((tuple(a[start_a:i]), tuple(b[start_b:j])))
-                start_a, start_b = i, j
-        return out
-
-    def parts(self, texts: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, shown groups, links) of each part; None if it isn't spelled. Short parts are remembered."""
-        new = list(dict.fromkeys(t for t in texts if t not in self.memo))
-        found = {}
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            for part, (a, b) in zip(some, self.encoded(some)):
-                g = self.groups(part, a, b)
-                if g is None:
-                    found[part] = None
+        self.size_a, self.size_b = lengths(self.bytes_a), lengths(self.bytes_b)
+        # ids as text with what follows: a token or the other side, a token or the next group
+        self.text = np.array([f"{i}{c}" for c in ",|" for i in range(len(self.bytes_a))] + [f"{i}{c}" for c in ",;" for i in range(self.width)], "S")
+
+    def ids_a(self, parts: list[str]) -> np.ndarray:
+        """Ids of parts that each have a blank before them; long ones, whose words may be long too, go to the tokenizers library."""
+        if self.ranks and all(len(p) <= PLAIN for p in parts):
+            plain = [p == p.strip() for p in parts]  # these can stand in one text
+            out, i = [], 0
+            while i < len(parts):
+                j = i
+                while j < len(parts) and plain[j]:
+                    j += 1
+                if j > i:
+                    out += self.ranks.encode_ordinary(" " + " ".join(parts[i:j]))
                 else:
-                    links = Counter()
-                    for x in g:
-                        links.update(links_of(x, self.width))
-                    found[part] = len(a), len(b), len(g), shown(g), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-        out = [self.memo[t] if t in self.memo else found[t] for t in texts]
-        if len(self.memo) + len(found) > self.most:
-            self.memo.clear()
-        self.memo.update((t, v) for t, v in found.items() if len(t) <= 64)
-        return out
-
-    def aligned(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, digest, pairs (sorted) and how often each is linked in a whole text."""
+                    out += self.ranks.encode_ordinary(" " + parts[i])
+                    j += 1
+                i = j
+            return np.array(out, np.int64)
+        encode = lambda p: self.ranks.encode_ordinary(" " + p) if self.ranks and len(p) <= PLAIN else self.a.encode(" " + p, add_special_tokens=False).ids
+        return np.fromiter(chain.from_iterable(map(encode, parts)), np.int64)
+
+    def ids_b(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(self.b.encode(parts, num_threads=1)), np.int64)
+
+    def spelled(self, a: np.ndarray, b: np.ndarray, raw: bytes) -> bool:
+        return b"".join([self.bytes_a[i] for i in a.tolist()]) == raw == b"".join([self.bytes_b[i] for i in b.tolist()])
+
+    def parts(self, parts: list[str]) -> Parts:
+        """Alignments of parts, each with the blank before it; all are worked on at once."""
+        parts = sorted(parts, key=lambda p: p != p.strip()) if self.ranks else parts
+        raw = [b" " + p.encode() for p in parts]
+        a, b = self.ids_a(parts), self.ids_b(parts)
+        bad = np.zeros(len(parts), bool)
+        if not self.spelled(a, b, b"".join(raw)):
+            own = [(self.ids_a([p]), self.ids_b([p])) for p in parts]
+            bad = np.array([not self.spelled(x, y, r) for (x, y), r in zip(own, raw)])
+            raw = [b"" if f else r for f, r in zip(bad, raw)]
+            a, b = (np.concatenate([NONE, *(x[k] for x, f in zip(own, bad) if not f)]) for k in (0, 1))
+        ends = np.cumsum(lengths(raw))
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        mark = np.zeros((2, (ends[-1] if len(ends) else 0) + 1), bool)
+        mark[0, end_a] = True
+        mark[1, end_b] = True
+        last_a, last_b = mark[1, end_a], mark[0, end_b]  # tokens that end a group
+        in_a, in_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        groups = int(last_a.sum())
+        n_a, n_b = np.bincount(in_a, minlength=groups), np.bincount(in_b, minlength=groups)
+        # tokens in the order in which they are shown
+        words = np.empty(len(a) + len(b), self.text.dtype)
+        words[np.arange(len(a)) + (np.cumsum(n_b) - n_b)[in_a]] = self.text[a + last_a * len(self.bytes_a)]
+        words[np.arange(len(b)) + np.cumsum(n_a)[in_b]] = self.text[2 * len(self.bytes_a) + b + last_b * self.width]
+        of_word = np.char.str_len(words)
+        letters = words.view(np.uint8)
+        text = letters[letters > 0].tobytes()
+        times = n_b[in_a]
+        links = np.repeat(a, times) * self.width + b[spread((np.cumsum(n_b) - n_b)[in_a], times)]
+
+        def each(at: np.ndarray, total: np.ndarray) -> np.ndarray:
+            """Running totals at the ends of the parts."""
+            return np.concatenate(([0], total))[np.searchsorted(at, ends, side="right")]
+
+        up_a, up_b = (np.searchsorted(e, ends, side="right") for e in (end_a, end_b))
+        up_g = each(end_a, np.cumsum(last_a))
+        up_l = each(end_a, np.cumsum(times))
+        up_t = np.concatenate(([0], np.cumsum(of_word)))[up_a + up_b]
+        from_t = np.concatenate(([0], up_t[:-1])) if len(up_t) else up_t
+        shown = [text[i : max(i, j - 1)] for i, j in zip(from_t.tolist(), up_t.tolist())]
+        n = np.stack([np.diff(u, prepend=0) for u in (up_a, up_b, up_g)]) if len(parts) else np.zeros((3, 0), np.int64)
+        n_links = np.diff(up_l, prepend=0)
+        self.order = parts
+        return Parts(n, shown, links, up_l - n_links, n_links, bad)
+
+    def aligned(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """n_a, n_b, n_groups, digest, pairs (sorted) and how often each is linked, of whole texts."""
         nothing = 0, 0, 0, "", NONE, NONE
-        if not text:
-            return nothing
-        order = CUT.split(text)
-        count = Counter(order)
-        got = dict(zip(count, self.parts(list(count))))
-        if None in got.values():
-            return nothing
-        times = np.fromiter(count.values(), np.int64, len(count))
-        sums = np.array([v[:3] for v in got.values()], np.int64).T @ times
-        digest = hashlib.sha256(";".join([got[t][3] for t in order]).encode()).hexdigest()
-        keys = np.concatenate([v[4] for v in got.values()])
-        n = np.concatenate([v[5] for v in got.values()]) * np.repeat(times, [len(v[4]) for v in got.values()])
-        return *sums.tolist(), digest, *summed(keys, n)
+        cut = [CUT.split(t) if t else [] for t in texts]
+        got = self.parts(list(set(chain.from_iterable(cut))))
+        code = {p: i for i, p in enumerate(self.order)}
+        at = [[code[p] for p in c] for c in cut]
+        size = lengths(at)
+        of, flat = np.repeat(np.arange(len(texts)), size), np.fromiter(chain.from_iterable(at), np.int64, int(size.sum()))
+        sums = np.stack([np.bincount(of, x[flat], len(texts)) for x in (*got.n, got.bad)]).astype(np.int64)
+        both, times = np.unique(of * max(1, len(code)) + flat, return_counts=True)
+        of, flat = both // max(1, len(code)), both % max(1, len(code))
+        n = got.n_links[flat]
+        links = got.links[spread(got.first[flat], n)]
+        most = int(links.max(initial=0)) + 1
+        keys, inverse = np.unique(np.repeat(of, n) * most + links, return_inverse=True)
+        linked = np.bincount(inverse, np.repeat(times, n), len(keys)).astype(np.int64)
+        edge = np.searchsorted(keys, np.arange(len(texts) + 1) * most)
+        out = []
+        for i, c in enumerate(at):
+            if not c or sums[3, i]:
+                out.append(nothing)
+                continue
+            digest = hashlib.sha256(b";".join([got.shown[j] for j in c])).hexdigest()
+            lo, hi = edge[i], edge[i + 1]
+            out.append((*sums[:3, i].tolist(), digest, keys[lo:hi] - i * most, linked[lo:hi]))
+        return out
 
     def ranged(self, part: str, start: int, size: int) -> list[tuple[int, Fragment, list[Group]]]:
         """(first byte, fragment, its closed groups) of each byte range of `size` that tokens of a part, from byte `start` of its text, end in."""
-        (a, b), = self.encoded([part])
-        of_a, of_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
+        pieces = CUT.split(part)
+        a, b = self.ids_a(pieces), self.ids_b(pieces)
         raw = b" " + part.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
+        if not self.spelled(a, b, raw):
             return [(start, Fragment(bad=True), [])]
-        ends = [start + np.cumsum([len(x) for x in of]) for of in (of_a, of_b)]
+        ends = [start + np.cumsum(size[x]) for size, x in ((self.size_a, a), (self.size_b, b))]
         common = np.intersect1d(*ends)
         out, lo = [], start
         for stop in range((start // size + 1) * size, start + len(raw) + size, size):
             # tokens that end in (lo, stop], and the common ends there
             cut = common[(common > lo) & (common <= stop)]
             ids = []
-            for x, e in ((a, ends[0]), (b, ends[1])):
+            for x, e in ((a.tolist(), ends[0]), (b.tolist(), ends[1])):
                 at = np.searchsorted(e, [lo, *cut, stop], side="right")
                 ids.append([tuple(x[i:j]) for i, j in zip(at[:-1], at[1:])])
             n = sum(map(len, ids[0])), sum(map(len, ids[1]))
@@ -230,10 +306,13 @@ def short_rows(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*paths)
         for b in batches:
-            got = [aligner.aligned(t or "") for t in b.column(1).to_pylist()]
-            links = [packed_links(*g[4:]) for g in got]
-            columns = [pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.record_batch([b.column(0), *columns, pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=ROW)
+            step = max(1, b.num_rows * TOGETHER // max(1, b.column(1).nbytes))
+            for i in range(0, b.num_rows, step):
+                some = b.slice(i, step)
+                got = aligner.aligned([t or "" for t in some.column(1).to_pylist()])
+                links = [packed_links(*g[4:]) for g in got]
+                columns = [pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                yield pa.record_batch([some.column(0), *columns, pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=ROW)
 
     return docs.mapInArrow(run, schema_of(docs))
 

@@ -112,5 +112,5 @@ def test_fragments_are_a_monoid():
     assert all(t == trees[0] for t in trees)
     assert composed(Fragment(), trees[0], aligner.width) == trees[0] == composed(trees[0], Fragment(), aligner.width)
     n, links = closed(trees[0], aligner.width)
-    whole_ = aligner.aligned(text)
+    whole_ = aligner.aligned([text])[0]
     assert n == whole_[2] and trees[0].n == whole_[:2] and dict(links) == dict(zip(whole_[4].tolist(), whole_[5].tolist()))
