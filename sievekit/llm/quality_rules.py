@@ -1,186 +1,35 @@
 """Quality rules and a perplexity filter (operator 6).
 
-The model is an interpolated Kneser-Ney model of word bigrams for each language, over all bigrams of the corpus (see word_counts.py: it
-grows with the input and is never broadcast). Its lowest order spells words by a modified Kneser-Ney model of characters of order 4, folded
-to SIZE classes: at most SIZE^4 n-grams a language, which bounds what is broadcast. Spark counts the character n-grams of all texts; each language's counts become a
-model in one row: sorted n-gram codes with their log probabilities, and the lower order with the back-off weights for unseen n-grams. They are collected and
-broadcast in groups of languages under MODEL_BYTES; each group scores the texts of its languages. A text is scored without its own counts and those of its
-exact copies. A language's bands lie around the median log perplexity (nats a word or sign) of the texts that pass the base rules; texts outside are rejected.
-
-Null text has no words and fails the base rules (n_words < 50); its perplexity is null. Null lang is a language of its own. Repeated rows
-are judged alike. The columns to carry through are named by the caller; others of the table are not read.
+Base rules count words, symbols, repeated lines and repeated three-word windows. The model is a modified Kneser-Ney model of ORDER characters over all
+texts, by language (see char_model.py): Spark counts it, sorted hash arrays hold it, and it grows with the corpus. A text is scored without its own counts
+and those of its exact copies. A language's bands lie around the median log perplexity (nats a character) of the texts that pass the base rules, from exact
+ranks of values rounded to UNIT; texts outside are rejected. All sums are of whole numbers or run in one order, so a verdict depends on the table alone, not on
+how its rows are dealt to tasks.
+
+Null text has no words and fails the base rules (n_words < 50); its perplexity is null. Null lang is a language of its own, the same as an empty one. Repeated rows
+are judged alike. Texts of any length are worked on whole, one at a time. The columns to carry through are named by the caller (names of the result's own
+columns are refused); others of the table are not read.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from sievekit.llm import word_counts
+from sievekit.llm.char_model import MOST_ROWS, Table, hashed, model, with_table
 from sievekit.llm.common import small_batches, stored, word_hashes
 
-#: Classes of characters: blank, a-z (accents dropped, lower case), digits, signs, other signs, other letters in three classes.
-SIGNS = [",", ".", "!", "?", "'\"`’“”«»", "-–—_", "()[]{}", "#*$%&|<>"]
-SIZE = 28 + len(SIGNS) + 4
-ORDER = 4
-MODEL_BYTES = 64 << 20
-MOST_LANGUAGES = 10_000  # bands of so many languages at most are broadcast, three numbers each
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
+MOST_SMALL = 2 << 20  # rows of copies, or of bands, that are broadcast at most: a few numbers each
+UNIT = 1e-4  # of log perplexity, for ranks
 
 #: Widths of the bands in log perplexity below and above the median: so many times the distance to the outer decile on that side, which counts as
 #: LEAST_SHARE of the distance between the deciles at least. Chosen by labelled and damaged documents of sf0.1; README has the rates.
-WIDTHS = (2.0, 4.0)
+WIDTHS = (2.5, 5.0)
 LEAST_SHARE = 0.1
 
 
-def _classes() -> np.ndarray:
-    table = np.empty(0x250, np.int64)
-    for c in range(len(table)):
-        ch = chr(c)
-        base = unicodedata.normalize("NFD", ch)[0].lower()
-        if c in (0x20, *range(9, 14)):
-            table[c] = 0
-        elif "a" <= base <= "z":
-            table[c] = ord(base) - ord("a") + 1
-        elif ch.isdigit():
-            table[c] = 27
-        elif any(ch in s for s in SIGNS):
-            table[c] = 28 + next(i for i, s in enumerate(SIGNS) if ch in s)
-        else:
-            table[c] = SIZE - 3 + c % 3 if ch.isalpha() else SIZE - 4
-    return table
-
-
-CLASS = _classes()
-
-
-def classes(text: str) -> np.ndarray:
-    """The class of each character."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    s = CLASS[np.minimum(c, len(CLASS) - 1)]
-    far = c >= len(CLASS)
-    if far.any():
-        s[far] = SIZE - 3 + (c[far] >> 8) % 3
-        for i, sign in enumerate(SIGNS):
-            for ch in sign:
-                if ord(ch) >= len(CLASS):
-                    s[c == ord(ch)] = 28 + i
-    return s
-
-
-def counted(s: np.ndarray) -> np.ndarray:
-    """Marks the characters that count: of a run of blanks only the first."""
-    return (s > 0) | (np.concatenate(([0], s[:-1])) > 0)
-
-
-def codes(text: str) -> np.ndarray:
-    """The code of the n-gram that ends at each character; runs of blanks count once, blanks stand before the text."""
-    s = classes(text)
-    return codes_of(s[counted(s)])
-
-
-def codes_of(s: np.ndarray) -> np.ndarray:
-    padded = np.concatenate((np.zeros(ORDER - 1, np.int64), s))
-    out = np.zeros(len(s), np.int64)
-    for j in range(ORDER):
-        out = out * SIZE + padded[j : j + len(s)]
-    return out
-
-
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, code, n) over all texts of docs (lang, text), summed in each batch before they are moved."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                by.setdefault(lang, []).append(codes(text or ""))
-            for lang, parts in by.items():
-                n = np.bincount(np.concatenate(parts), minlength=SIZE**ORDER)
-                at = np.flatnonzero(n)
-                yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "code", "n"])
-
-    return docs.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """D for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    a = [max(1, int((n == i).sum())) for i in range(1, 5)]
-    y = a[0] / (a[0] + 2 * a[1])
-    d = [0.0] + [min(max(i - (i + 1) * y * a[i] / a[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
-    return np.array(d)
-
-
-def interpolated(code: np.ndarray, n: np.ndarray, order: int, lower: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each n-gram given, back-off weight of each context) under modified Kneser-Ney; lower: dense, by code."""
-    d = discounts(n)[np.minimum(n, 3)]
-    context = code // SIZE
-    total = np.bincount(context, n, SIZE ** (order - 1))
-    spare = np.bincount(context, d, SIZE ** (order - 1))
-    weight = np.divide(spare, total, out=np.ones_like(spare), where=total > 0)
-    below = np.full(len(code), 1 / SIZE) if lower is None else lower[code % SIZE ** (order - 1)]
-    return (n - d) / total[context] + weight[context] * below, weight
-
-
-def model_of(code: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Sorted codes, their log probabilities; dense log probabilities of the next lower order and log back-off weights."""
-    at = np.argsort(code)
-    code, n = code[at].astype(np.int64), n[at].astype(np.int64)
-    orders, c, m = [], code, n
-    for order in range(ORDER, 0, -1):
-        orders.append((order, c, m))
-        c, m = np.unique(c % SIZE ** (order - 1), return_counts=True)  # below: how many contexts a shorter n-gram follows
-    dense: np.ndarray | None = None
-    for order, c, m in reversed(orders):
-        p, weight = interpolated(c, m, order, dense)
-        if order < ORDER:
-            at = np.arange(SIZE**order)
-            full = weight[at // SIZE] * (1 / SIZE if dense is None else dense[at % SIZE ** (order - 1)])
-            full[c] = p
-            dense = full
-    return {"code": code.astype("<i4"), "logp": np.log(p).astype("<f4"), "lower": np.log(dense).astype("<f4"), "weight": np.log(np.maximum(weight, 1e-12)).astype("<f4")}
-
-
-def models(counts: DataFrame) -> DataFrame:
-    """One row a language; a language's rows are bounded by the alphabet."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        m = model_of(rows["code"].to_numpy(), rows["n"].to_numpy())
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], **{k: [v.tobytes()] for k, v in m.items()}})
-
-    return counts.groupBy("lang").applyInPandas(fit, "lang string, code binary, logp binary, lower binary, weight binary")
-
-
-class Scorer:
-    """Log probabilities from a model's sorted arrays; the last few languages' are spread out for direct access."""
-
-    def __init__(self, rows: dict[str, tuple[bytes, bytes, bytes, bytes]]) -> None:
-        self.rows, self.tables = rows, {}
-
-    def table(self, lang: str) -> np.ndarray:
-        if lang not in self.tables:
-            code, logp, lower, weight = (np.frombuffer(x, t) for x, t in zip(self.rows[lang], ("<i4", "<f4", "<f4", "<f4")))
-            if len(self.tables) >= 6:
-                self.tables.clear()
-            full = (weight[:, None] + lower.reshape(-1, SIZE)[np.arange(len(weight)) % SIZE ** (ORDER - 2)]).ravel()
-            full[code] = logp
-            self.tables[lang] = full
-        return self.tables[lang]
-
-    def spelled(self, lang: str, text: str) -> np.ndarray:
-        """Log probability of the characters before each place of the text."""
-        s = classes(text)
-        at = counted(s)
-        p = np.zeros(len(s) + 1)
-        p[1:][at] = self.table(lang)[codes_of(s[at])]
-        return np.cumsum(p)
-
-
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     raw = text.encode("utf-8", "replace")
@@ -206,60 +55,56 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(w), chars, int(np.isin(data, SYMBOLS).sum()), dup, repeat
 
 
-def scored(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns of docs (..., text, lang) with the base counts, base_failed and the mean log perplexity."""
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    docs = docs.withColumn("_lang", F.coalesce("lang", F.lit("")))
-    model = stored(models(ngram_counts(docs.select(F.col("_lang").alias("lang"), "text"))))
-    sizes = model.select("lang", sum(F.length(c) for c in model.columns[1:]).alias("n")).orderBy("lang").toLocalIterator()
-    groups, size = [[]], 0
-    for lang, n in sizes:  # one row a language
-        if groups[-1] and size + n > MODEL_BYTES:
-            groups.append([])
-            size = 0
-        groups[-1].append(lang)
-        size += n
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    answered = word_counts.answered(docs.select(*carry, F.col("text").alias("_text"), "_lang"))
-    out = None
-    for part, group in enumerate(groups):
-        mine = F.col("lang").isin(group) if len(groups) > 1 else F.lit(True)
-        rows = spark.sparkContext.broadcast({r[0]: tuple(map(bytes, r[1:])) for r in model.filter(mine).collect()})
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+OWN = [*COUNTS, "base_failed", "perplexity", "low_perplexity", "high_perplexity", "kept"]
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows, part=part) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(rows.value)
-            for b, own, totals in word_counts.chunks(batches):
-                text, lang = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-                # a text without words needs no model, and its language may have none
-                at = [i for i, g in enumerate(lang) if (g in rows.value if own.sizes[i] else part == 0)]
-                if not at:
-                    continue
-                spelled = own.spellings([scorer.spelled(g, t) if n and g in rows.value else None for g, t, n in zip(lang, own.lowered, own.sizes)])
-                ppl = pa.array(own.log_perplexities(totals, spelled)[at], pa.float64(), from_pandas=True)
-                b = b.take(pa.array(at))
-                base = np.array([base_counts(text[i] or "") for i in at], np.int64).reshape(-1, 5)
-                failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
-                yield pa.record_batch([*b.columns[:-2], b.column(b.num_columns - 1), *(pa.array(c) for c in base.T), pa.array(failed), ppl], names=[*carry, "_lang", *COUNTS, "base_failed", "log_perplexity"])
 
-        got = answered.mapInArrow(run, f"{schema}, _lang string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, log_perplexity double")
-        out = got if out is None else out.unionByName(got)
-    return stored(out)  # read twice: for the bands and for the verdicts
+def with_copies(docs: DataFrame) -> DataFrame:
+    """docs (..., _text, _lang) with the number of rows that have the same text and language."""
+    docs = docs.withColumn("_h", F.xxhash64("_text", "_lang"))
+    several = stored(docs.groupBy("_h").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"))
+    if several.count() <= MOST_SMALL:  # then the texts needn't be moved
+        several = F.broadcast(several)
+    return docs.join(several, "_h", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).drop("_h")
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def scored(docs: DataFrame, carry: list[str], most_rows: int = MOST_ROWS) -> DataFrame:
+    """The carried columns of docs (..., text, lang) with _lang, the base counts, base_failed and the mean log perplexity in units of UNIT."""
+    small_batches(docs.sparkSession)
+    if clash := {c.lower() for c in carry} & {*OWN, "_lang", "_text", "_copies", "_h"}:
+        raise ValueError(f"columns {sorted(clash)} are the result's own")
+    docs = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("lang", F.lit("")).alias("_lang"))
+    rows = hashed(model(docs.select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))))
+
+    def score(table: Table, b: pa.RecordBatch) -> pa.RecordBatch:
+        text, lang, copies = (b.column(b.num_columns - j).to_pylist() for j in (3, 2, 1))
+        base = np.array([base_counts(t) for t in text], np.int64).reshape(-1, 5)
+        failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
+        x = [table.log_perplexity(t, g, c) for t, g, c in zip(text, lang, copies)]
+        x = [None if v is None else round(v / UNIT) for v in x]
+        return pa.record_batch([*b.columns[:-3], b.column(b.num_columns - 2), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(x, pa.int64())], names=[*carry, "_lang", *COUNTS, "base_failed", "_x"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    schema = f"{schema}, _lang string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, _x long"
+    return stored(with_table(with_copies(docs), rows, score, schema, most_rows))  # read twice: for the bands and for the verdicts
+
+
+def bands(passed: DataFrame, widths: tuple[float, float]) -> DataFrame:
+    """(_lang, low, high) from passed (_lang, _x): exact ranks, over one row a language and distinct value."""
+    n = passed.groupBy("_lang", "_x").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("_lang")
+    n = n.withColumns({"upto": F.sum("n").over(by.orderBy("_x")), "all": F.sum("n").over(by)})
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("all"), F.col("_x")))
+    q = n.groupBy("_lang").agg(at(1).alias("d1"), at(5).alias("d5"), at(9).alias("d9"))
+    half = lambda width, a, b: F.lit(width) * F.greatest(F.col(a) - F.col(b), F.lit(LEAST_SHARE) * (F.col("d9") - F.col("d1")))
+    return q.select(F.col("_lang").alias("_l"), (F.col("d5") - half(widths[0], "d5", "d1")).alias("low"), (F.col("d5") + half(widths[1], "d9", "d5")).alias("high"))
 
 
-def quality_rules(docs: DataFrame, carry: list[str], widths: tuple[float, float] = WIDTHS) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: list[str], widths: tuple[float, float] = WIDTHS, most_rows: int = MOST_ROWS) -> DataFrame:
     """The carried columns of docs with base counts, base_failed, perplexity, its language's bands and the verdict `kept`."""
-    got = scored(docs, carry)
-    passed = got.filter("not base_failed").select("_lang", "log_perplexity")
-    q = F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("q")
-    spread = lambda i, j: F.col("q")[i] - F.col("q")[j]
-    half = lambda width, i, j: F.lit(width) * F.greatest(spread(i, j), F.lit(LEAST_SHARE) * spread(2, 0))
-    bands = passed.groupBy("_lang").agg(q).select(F.col("_lang").alias("_l"), (F.col("q")[1] - half(widths[0], 1, 0)).alias("low"), (F.col("q")[1] + half(widths[1], 2, 1)).alias("high"))
-    bands = stored(bands)  # a row a language
-    small = bands.count() <= MOST_LANGUAGES  # then texts needn't be moved to their language's task
-    both = got.join(F.broadcast(bands) if small else bands, F.col("_lang") == F.col("_l"), "left")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return both.select(*carry, *COUNTS, "base_failed", F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("low_perplexity"), F.exp("high").alias("high_perplexity"), (~F.col("base_failed") & inside).alias("kept"))
+    got = scored(docs, carry, most_rows)
+    edges = stored(bands(got.filter("not base_failed").select("_lang", "_x"), widths))  # a row a language
+    both = got.join(F.broadcast(edges) if edges.count() <= MOST_SMALL else edges, F.col("_lang") == F.col("_l"), "left")
+    inside = F.coalesce(F.col("_x").between(F.col("low"), F.col("high")), F.lit(False))
+    shown = lambda c, name: F.exp(F.col(c) * F.lit(UNIT)).alias(name)
+    return both.select(*carry, *COUNTS, "base_failed", shown("_x", "perplexity"), shown("low", "low_perplexity"), shown("high", "high_perplexity"), (~F.col("base_failed") & inside).alias("kept"))

@@ -177,22 +177,6 @@ def test_op6_base_counts(spark, texts):
         assert r["base_failed"] == (len(w) < 50 or 100 * repeat > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
-def test_op6_model_is_a_distribution_and_matches_a_plain_one():
-    text = "the cat sat on the mat and the dog sat on the log " * 3 + "zebra"
-    codes, n = np.unique(quality_rules.codes(text), return_counts=True)
-    m = quality_rules.model_of(codes, n)
-    scorer = quality_rules.Scorer({"": tuple(m[k].tobytes() for k in ("code", "logp", "lower", "weight"))})
-    p = np.exp(scorer.table("").astype(float)).reshape(-1, quality_rules.SIZE)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    # one n-gram by hand: (n - D) / total + weight * lower
-    d, size = quality_rules.discounts(n), quality_rules.SIZE
-    context = codes[np.argmax(n)] // size
-    mine = codes // size == context
-    lower = np.exp(m["lower"][codes[np.argmax(n)] % size**3])
-    want = (n.max() - d[min(3, n.max())]) / n[mine].sum() + d[np.minimum(n[mine], 3)].sum() / n[mine].sum() * lower
-    assert np.exp(m["logp"][list(m["code"]).index(codes[np.argmax(n)])]) == pytest.approx(want, rel=1e-4)
-
-
 def odd_texts() -> list[str]:
     rng = random.Random(3)
     some = ["", " ", "  a ", "\n\n", "Hello  world\n你好 x<s>", "zażółć 😀😀", "x" + " " * 15 + "y" + " " * 40, "def f(x):\n        return x**2", "a\tb\x00c", "12345678901234567890", "a" * 40]
