@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from math import exp, log
 
+import numpy as np
 import pytest
 
 from sievekit.llm import char_model, quality_rules
@@ -86,10 +87,17 @@ def test_texts_with_more_characters_than_fit_are_counted_all_the_same():
     rng = random.Random(1)
     for alphabet in (range(97, 123), range(0x4E00, 0x4E40), range(0x3400, 0x3400 + 6000)):
         c = char_model.characters("".join(chr(rng.choice(alphabet)) for _ in range(9000)) + "".join(map(chr, alphabet)))
-        rows, n = char_model.grams(c)
+        rows, n, codes = char_model.grams(c)
+        assert (codes is None) == (len(alphabet) > 4096)
+        own = char_model.Own(rows, n, codes)
         at = [32] * (ORDER - 1) + c.tolist()
         want = Counter(tuple(reversed(at[i : i + ORDER])) for i in range(len(c)))
         assert dict(zip(map(tuple, rows.tolist()), n.tolist())) == want and rows.tolist() == sorted(rows.tolist())
+        for skip, k in ((0, 1), (0, 3), (1, 3), (1, 5), (0, 5)):
+            part = Counter()
+            for x, m in want.items():
+                part[x[: k - skip]] += m
+            assert own.times(np.arange(9), skip, k).tolist() == [part[tuple(x[skip:k])] for x in rows[:9].tolist()]
 
 
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "".join(chr(0x4E00 + 7 * i) for i in range(200))])
