@@ -181,7 +181,7 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b): the least id reachable from each id, as (id, component).
 
     Labels move along links and through their own labels until nothing changes; every round is written to
-    the shared folder. Sums and minima are taken before rows are moved, so a hub is no hot group.
+    the shared folder. Minima are taken in the tasks first; a hub's links meet its one label in a join that Spark splits where it is skewed.
     """
     both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
     label = stored(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")))

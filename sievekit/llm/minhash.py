@@ -4,8 +4,8 @@ A document's set holds its distinct word shingles. Documents of equal sets form
 of minima give candidates: in each bucket every member is paired with the bucket's hub, the member that shares most buckets. The low bits of the minima, packed
 into longs, estimate each pair's similarity, corrected for chance equality; pairs far below the threshold go, the others are confirmed
 on full sets. Then buckets that still hold several components are searched again, each member outside the least member's
-component against all members of other components, on estimates and then on full sets inside the join, so that no candidate of the
-bands between different components stays untested and only links come out.
+component against all members of other components: by signatures, which leave the members that have a pair worth a look, then these on full sets inside
+the join, so that no candidate of the bands between different components stays untested and only links come out.
 
 Null or empty text has no shingles and is linked with nothing. Rows without doc_id are linked with nothing either: their
 component_id is null and they are kept. Rows that share a doc_id count as one document: a link of one is a link of all.
@@ -148,13 +148,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     known = shared.select("bucket", "id").join(label.select("id", "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed_up = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket", "low")
-    rest = stored(known.join(mixed_up, "bucket"))
-    sets = sets_of(docs, rest.select("id").distinct())
-    full = rest.join(classes.select("id", "bands", "sig").join(sets, "id"), "id")
-    x, y = full.alias("x"), full.alias("y")
+    rest = stored(known.join(mixed_up, "bucket").join(classes.select("id", "bands", "sig"), "id"))
     other = F.expr("x.bucket = y.bucket AND x.component <> x.low AND x.component <> y.component AND (y.component = y.low OR x.id < y.id)")
     once = F.expr("get(array_intersect(x.bands, y.bands), 0) = x.bucket")  # a pair is looked at in its first common bucket
-    found = x.join(y, other & (estimate("x.sig", "y.sig") >= least) & once & alike("x.s", "y.s", percent))
+    worth = other & (estimate("x.sig", "y.sig") >= least) & once
+    # members with a pair that is worth a look on full sets, by signatures alone: a row a member at most, and only these rows get their sets
+    xs = stored(rest.alias("x").join(rest.alias("y"), worth, "left_semi"))
+    ys = stored(rest.alias("y").join(xs.alias("x"), worth, "left_semi"))
+    sets = stored(sets_of(docs, xs.select("id").union(ys.select("id")).distinct()))
+    found = xs.join(sets, "id").alias("x").join(ys.join(sets, "id").alias("y"), worth & alike("x.s", "y.s", percent))
     more = stored(found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     if not more.isEmpty():
         label = components(links.union(more))
