@@ -321,3 +321,27 @@ def damaged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == 4, F.concat(F.lit("<table>"), F.repeat(F.lit("<div>"), 3000), F.lit("<tr><td>"), _num("o_orderkey"), F.lit("</td></tr></table>\n")))
             .otherwise(F.lit('{"a" 1}\n')))
     return o.select(F.col("o_orderkey").alias("doc_id"), F.lit("orders").alias("source_id"), text.alias("text"))
+
+
+def tree_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON per order with its lines, version 1 before 1998 and 2 from then on; source = priority.
+
+    `lines[].disc` misses where there is no discount, `lines[].tax` is null where it is 0, an order may have no comment. Version 2 of the
+    first four priorities has `ship` (an object), no `old.code`, and text for `lines[].qty`; that of the fifth is the same as version 1.
+    """
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    changed = lambda day, priority: (F.year(day) >= 1998) & ~F.col(priority).startswith("5")
+    li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), changed("o_orderdate", "o_orderpriority").alias("new")), "l_orderkey")
+    qty = F.when(F.col("new"), F.concat(F.lit('"'), F.col("l_quantity").cast("int"), F.lit(' pcs"'))).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    line = F.concat(F.lit('{"n": '), _num("l_linenumber"), F.lit(', "qty": '), qty,
+                    F.when(F.col("l_discount") > 0, F.concat(F.lit(', "disc": '), _num("l_discount"))).otherwise(F.lit("")),
+                    F.lit(', "tax": '), F.when(F.col("l_tax") > 0, _num("l_tax")).otherwise(F.lit("null")), F.lit("}"))
+    lines = li.select("l_orderkey", "l_linenumber", line.alias("j")).groupBy("l_orderkey").agg(F.expr("listagg(j, ', ') within group (order by l_linenumber)").alias("lines"))
+    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").withColumn("new", changed("o_orderdate", "o_orderpriority"))
+    text = F.concat(
+        F.lit('{"id": '), _num("o_orderkey"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(', "note": "x"')).otherwise(F.lit("")),
+        F.when(F.col("new"), F.concat(F.lit(', "ship": {"mode": "m", "days": '), (F.col("o_orderkey") % 7).cast("string"), F.lit('}, "old": {"key": 1}')))
+        .otherwise(F.lit(', "old": {"key": 1, "code": "c"}')),
+        F.lit(', "lines": ['), F.coalesce(F.col("lines"), F.lit("")), F.lit("]}"))
+    return j.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("source_id"), F.when(F.year("o_orderdate") >= 1998, 2).otherwise(1).alias("version"), text.alias("text"))

@@ -49,11 +49,10 @@ def _text(field: Column) -> Column:
 def aligned(records: DataFrame, fields: list[Field], keep: tuple[str, ...] = ("record_id",)) -> tuple[DataFrame, DataFrame]:
     """Rule S5: (rows with the table's columns, rejects with the first reason).
 
-    A record is rejected for a field the table doesn't have, a value of another type, or a missing value where none may miss.
+    A record is rejected for a value of another type or a missing value where none may miss. Fields that the table
+    doesn't have are dropped, the record stays.
     """
-    names = [n for n, _, _ in fields]
-    strange = F.get(F.filter(F.transform("fields", lambda f: f["name"]), lambda n: ~n.isin(names)), F.lit(0))
-    reasons = [F.when(strange.isNotNull(), F.concat(F.lit("unknown field "), strange))]
+    reasons = [F.lit(None).cast("string")]
     for name, kind, nullable in fields:
         value = _token(name)
         reasons.append(F.when(value.isNotNull() & ~_fits(value, kind), F.lit(f"bad type for {name}")))
@@ -64,6 +63,11 @@ def aligned(records: DataFrame, fields: list[Field], keep: tuple[str, ...] = ("r
     return judged.filter("reason IS NULL").select(*keep, *columns), judged.filter("reason IS NOT NULL").select(*keep, "reason")
 
 
+def with_system_columns(rows: DataFrame) -> DataFrame:
+    """Rule S4: rows (record_id, source_id, ...) with the columns that every stored table has: _id, _source_id and _ingested_at."""
+    return rows.withColumnsRenamed({"record_id": "_id", "source_id": "_source_id"}).withColumn("_ingested_at", F.current_timestamp())
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """Rule S4/S5: appends to a typed table."""
     rows.write.mode("append").parquet(path)
