@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievekit.llm.common import LOWER, components, mixed, packed_texts, small_batches, stored, word_hashes
+from sievekit.llm.common import LOWER, components, lean, mixed, packed_texts, small_batches, stored, word_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -101,7 +101,7 @@ def _sets(batches):
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): the full sets of the documents in ids (id)."""
-    return packed_texts(docs).join(ids, F.col("doc_id") == F.col("id")).select("id", "z").mapInArrow(_sets, "id long, s array<long>")
+    return packed_texts(docs).join(ids, F.col("doc_id") == F.col("id")).select("id", "z").mapInArrow(lean(_sets), "id long, s array<long>")
 
 
 def alike(s: str, t: str, percent: int) -> Column:
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>"))
+    signed = stored(docs.mapInArrow(lean(_sign), "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>"))
     own = signed.filter("digest IS NOT NULL")
     classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     member = classes.select("id", F.explode("bands").alias("bucket"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sievekit.llm.common import fit_in_task, sample_rows, small_batches
+from sievekit.llm.common import lean, fit_in_task, sample_rows, small_batches
 
 BINS = 1 << 14
 SAMPLE = 6000
@@ -117,4 +117,4 @@ def quality_scores(docs: DataFrame, blob: bytes, carry: list[str], at_least: int
     small_batches(docs.sparkSession)
     kept = docs.select(*carry, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
-    return kept.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")
+    return kept.mapInArrow(lean(run), f"{schema}, expected_grade double, tail_probability double")

@@ -86,7 +86,7 @@ def scored(docs: DataFrame, carry: list[str], most_rows: int = MOST_ROWS) -> Dat
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     schema = f"{schema}, _lang string, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, _x long"
-    return stored(with_table(with_copies(docs), rows, score, schema, most_rows))  # read twice: for the bands and for the verdicts
+    return with_table(with_copies(docs), rows, score, schema, most_rows)
 
 
 def bands(passed: DataFrame, widths: tuple[float, float]) -> DataFrame:
