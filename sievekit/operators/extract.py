@@ -26,6 +26,7 @@ SOURCE_TYPES = ["json", "kv", "html_table", "csv_block", "yaml_block"]  # concat
 KV_KEY_PATTERN = r"(?U)^[a-zA-Z_][a-zA-Z0-9_\s\-]*$"
 KV_KEY_MAX_LEN = 50
 JSON_CONFIDENCE, JSON_ERROR_CONFIDENCE, KV_CONFIDENCE, HTML_CONFIDENCE = 1.0, 0.5, 1.0, 0.95
+CSV_BASE, CSV_EVEN, CSV_DELIMITER, CSV_MOST, CSV_USUAL = 0.7, 0.15, 0.1, 0.95, [",", "\t"]
 CODE_FENCE = "```"
 
 FIELD_T = "array<struct<name:string,jtype:string,token:string>>"
@@ -35,7 +36,7 @@ ENTRY_T = "array<struct<k:string,v:string>>"
 _JSON_UDF_T = f"array<struct<start:int,end:int,raw:string,ok:boolean,data:string,fields:{FIELD_T},paths:{PATH_T},reason:string>>"
 _CSV_UDF_T = (
     "array<struct<start:int,end:int,delimiter:string,headers:array<string>,"
-    "rows:array<array<string>>,confidence:double,reason:string>>"
+    "rows:array<array<string>>,reason:string>>"
 )
 _HTML_UDF_T = "array<struct<start:int,end:int,headers:array<string>,rows:array<array<string>>,reason:string>>"
 _YAML_UDF_T = (
@@ -139,6 +140,13 @@ def scan_columns(text: Column) -> list[Column]:
     return [_UDF_CACHE["all"](F.when(can_hold, text)).alias("_scan")]
 
 
+def csv_confidence(headers: Column, rows: Column, delimiter: Column) -> Column:
+    """Rule E14 of a block of a heading and two rows or more."""
+    even = F.forall(rows, lambda r: F.size(r) == F.size(headers))
+    parts = F.lit(CSV_BASE) + F.when(even, CSV_EVEN).otherwise(0.0) + F.when(delimiter.isin(CSV_USUAL), CSV_DELIMITER).otherwise(0.0)
+    return F.least(parts, F.lit(CSV_MOST))
+
+
 def fragment_arrays(text: Column) -> dict[str, Column]:
     """Per-type fragment arrays of one text, each already in the common struct shape.
 
@@ -158,8 +166,8 @@ def fragment_arrays(text: Column) -> dict[str, Column]:
             "html_table", i + 1, h.start, h.end, F.substring(text, h.start + 1, h.end - h.start), HTML_CONFIDENCE,
             headers=h.headers, rows=h.rows, parse_error=F.when(h.reason.isNotNull(), True), reason=h.reason)),
         "csv_block": F.transform(F.coalesce(csv_arr, F.array().cast(_CSV_UDF_T)), lambda c, i: _frag(
-            "csv_block", i + 1, c.start, c.end, F.substring(text, c.start + 1, c.end - c.start), c.confidence,
-            headers=c.headers, delimiter=c.delimiter, rows=c.rows)),
+            "csv_block", i + 1, c.start, c.end, F.substring(text, c.start + 1, c.end - c.start),
+            csv_confidence(c.headers, c.rows, c.delimiter), headers=c.headers, delimiter=c.delimiter, rows=c.rows)),
         "yaml_block": F.transform(F.coalesce(yaml_arr, F.array().cast(_YAML_UDF_T)), lambda y, i: _frag(
             "yaml_block", i + 1, y.start, y.end, y.raw, y.confidence, block_type=y.block_type,
             data=y.data, fields=y.fields, paths=y.paths, parse_error=F.when(y.reason.isNotNull(), True), reason=y.reason)),

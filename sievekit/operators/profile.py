@@ -194,22 +194,6 @@ def path_suggestions(stats: DataFrame, totals: DataFrame, by: list[str]) -> Data
 # --- JSON-schema-like summary and signature (T21-T23) --------------------------
 
 
-def schema_paths(records: DataFrame, by: list[str]) -> DataFrame:
-    """Rule T21 as rows: per (by, path) the sorted type set and ``required``.
-
-    ``required`` here means present in every record of the batch (stricter
-    than a JSON-schema ``required`` on nested objects; see README).
-    """
-    keep = list(dict.fromkeys([*by, "record_id"]))
-    walked = walked_paths(records, keep)
-    per = walked.groupBy(*by, "path").agg(
-        F.array_sort(F.collect_set("vtype")).alias("types"),  # bounded: at most 8 types
-        F.count_distinct("record_id").alias("n_records"),
-    )
-    totals = records.groupBy(*by).agg(F.count(F.lit(1)).alias("total_records"))
-    return per.join(totals, by).select(*by, "path", "types", (F.col("n_records") == F.col("total_records")).alias("required"))
-
-
 def schema_signature(paths: DataFrame, by: list[str]) -> DataFrame:
     """Rule T23: first 16 hex of sha256 over the canonical (sorted) path list."""
     entry = F.concat_ws("|", F.col("path"), F.array_join("types", ","), F.col("required").cast("string"))

@@ -83,23 +83,9 @@ def assign_versions(uploads: DataFrame, source: str = "source_id", order: str =
     ).drop("changes")
 
 
-def is_duplicate(new_sigs: DataFrame, registry: DataFrame, source: str = "source_id") -> DataFrame:
-    """Rule V1: the new signature equals the latest registered one (no schema -> not duplicate)."""
-    latest = latest_schema(registry, source).select(source, F.col("signature").alias("_latest_sig"))
-    return new_sigs.join(latest, source, "left").withColumn(
-        "duplicate", F.coalesce(F.col("signature") == F.col("_latest_sig"), F.lit(False))).drop("_latest_sig")
-
-
 # --- registry (S7, V9) -------------------------------------------------------
 
 
-def upsert_schemas(registry: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Upsert by schema_id: the newest ``generated_at`` wins (one row per id)."""
-    both = registry.unionByName(new_rows, allowMissingColumns=True)
-    w = Window.partitionBy("schema_id").orderBy(F.col("generated_at").desc_nulls_last())
-    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def latest_schema(registry: DataFrame, source: str = "source_id") -> DataFrame:
     """Rules S7/V9: the highest version per source (algebraic ``max_by``, no sort)."""
     cols = [c for c in registry.columns if c != source]
@@ -107,11 +93,6 @@ def latest_schema(registry: DataFrame, source: str = "source_id") -> DataFrame:
     return latest.select(source, "s.*")
 
 
-def latest_version(registry: DataFrame, source: str = "source_id") -> DataFrame:
-    """Highest version per source (0 when a source has none is the caller's left join default)."""
-    return registry.groupBy(source).agg(F.max("version").alias("latest_version"))
-
-
 # --- diffs (V3-V8) -----------------------------------------------------------
 
 
@@ -154,11 +135,6 @@ def schema_diff(fields: DataFrame, source: str = "source_id") -> DataFrame:
                       F.when(notes == "", F.lit("No changes")).otherwise(notes).alias("notes"))
 
 
-def structural_change(diff: DataFrame) -> DataFrame:
-    """Rule V6: a key was added/removed or a type changed."""
-    return diff.withColumn("structural", (F.size("added") + F.size("removed") + F.size("type_changes")) > 0)
-
-
 # --- evolution (V10) ---------------------------------------------------------
 
 

@@ -93,3 +93,11 @@ def test_document_conditions_compare_like_with_like(spark):
     assert asked({"a": {"$exists": True}}, sort=[["a", 1]])[:4] == [4, 1, 8, 7]
     assert len(asked({})) == 9 and len(asked({}, limit=3)) == 3
     assert len(execute_query({"filter": {}, "limit": 5}, documents=docs, limits=(2, 3)).collect()) == 3
+
+
+def test_csv_confidence_by_width_and_delimiter(spark):
+    texts = ["a,b\n1,2\n3,4\n", "a,b\n1,2\n3,4,5\n", "a;b,c\n1;2;3\n3;4;5\n"]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source_id string, text string")
+    got = {r.doc_id: (r.delimiter, r.confidence) for r in extract_fragments(docs).filter("source_type = 'csv_block'").collect()}
+    assert got[0] == (",", 0.95) and got[1] == (",", 0.7 + 0.1)
+    assert all(c in (0.7, 0.7 + 0.1, 0.7 + 0.15, 0.95) for _, c in got.values())
