@@ -31,7 +31,7 @@ from pyspark.sql.types import FloatType
 from sievekit.llm.common import fit_in_task, stored
 
 K = 20
-TARGET = 0.94
+TARGET = 0.96
 CALIBRATION = 128
 SAMPLE = 32_768  # vectors that the codebooks are fitted on, at most
 MOST_CENTROIDS = 1024
