@@ -81,19 +81,23 @@ from orders
 
 
 def validate_records_q(spark, sf):
-    """Records of batch 2 checked against the schema of batch 1."""
+    """Records of both batches checked against the schema of batch 1, and against that without one of its fields."""
     docs = render.two_batch_orders(spark, sf)
     keys = ("doc_id", "source_id", "version")
     recs = build_records(extract_fragments(docs, keep_cols=keys), key_cols=keys).filter(F.col("source_type") == "json")
     v1 = schema_fields(recs.filter("version = 1"), ["source_id"])
-    checked = validate_records(recs.filter("version = 2"), v1, ["source_id"])
-    return checked.select(F.split("record_id", ":")[0].cast("bigint").alias("doc_id"), "valid", "reason")
+    checked = validate_records(recs, v1, ["source_id"]).withColumn("against", F.lit("batch 1"))
+    fewer = validate_records(recs, v1.filter("name <> 'old_code'"), ["source_id"]).withColumn("against", F.lit("without old_code"))
+    return checked.unionByName(fewer).select(F.split("record_id", ":")[0].cast("bigint").alias("doc_id"), "against", "valid", "reason")
 
 
 VALIDATE_RECORDS_SQL = """
-select o_orderkey as doc_id, false as valid,
-       case when o_orderkey % 2 = 0 then 'bad type for price' else 'bad type for price' end as reason
-from orders where year(o_orderdate) >= 1998
+select o_orderkey as doc_id, 'batch 1' as against, year(o_orderdate) < 1998 as valid,
+       case when year(o_orderdate) >= 1998 then 'bad type for price' end as reason
+from orders
+union all
+select o_orderkey, 'without old_code', false, case when year(o_orderdate) >= 1998 then 'bad type for price' else 'unknown field old_code' end
+from orders
 """
 
 
