@@ -1,11 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs (operator 9). DataFrame and SQL functions only.
 
-A paragraph is a line with a character that isn't blank, or a sentence of a line of over LONG_LINE characters. A fingerprint has CELLS cells
-in three blocks; each distinct paragraph digest lies in one cell of each block, and a cell holds count, XOR of digests and XOR of
+A line is cut into paragraphs after each word that ends in a stop or whose hash is a multiple of CUT, whatever the line's length; cuts depend on the words
+alone, so an edit changes the paragraphs that it touches. A paragraph's digest hashes its words; a text without blanks is one paragraph a line.
+A fingerprint has CELLS cells in three blocks; each distinct digest lies in one cell of each block, and a cell holds count, XOR of digests and XOR of
 their check hashes. Two fingerprints are subtracted cell by cell and peeled: a cell that holds one digest gives it away, which
-frees others, until nothing is left and all digests in which the versions differ are known. Where peeling gets stuck, it is
-tried again with larger sketches: the digests are dealt to groups by a new hash, more groups each time, with CELLS cells each.
-After three such rounds the digests themselves are compared, so that the likeness is exact in any case.
+frees others, until nothing is left and all digests in which the versions differ are known. Where peeling gets stuck, both versions' digests are dealt
+to groups by a new hash, a sketch for each, entered with the version's sign, and only groups that get stuck again are dealt anew, round after round.
+A round leaves some percent of the groups; what is left after RETRIES rounds (never, for practical purposes) is compared directly, so that the likeness is exact in any case.
 
 likeness = shared / all distinct paragraphs (1 where both texts have none). The next document is found without a global sort: documents go
 to ranges of doc_id, and the first of each range is also sent to the end of the range before it.
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 WIDTH = 16  # cells of a block of a fingerprint; a power of two
 CELLS = 3 * WIDTH
 ROUNDS = 12
-LONG_LINE = 800
-GROUP, GROUP_WIDTH = 5, 8  # digests meant for a group of a larger sketch, and the cells of its blocks
+CUT = 16
+GROUP, GROUP_WIDTH = 6, 8  # digests of both versions meant for a group, and the cells of its blocks
+RETRIES = 10
 RANGE = 2000
 MOST_RANGES = 100_000
 
@@ -43,8 +45,10 @@ def cell_of(key: str, block: int, width: int) -> str:
 
 def digests(text: str) -> str:
     """Distinct digests of a text's paragraphs."""
-    parts = f"flatten(transform(split({text}, '\\\\n'), l -> if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])\\\\s+'), array(l))))"
-    return f"array_distinct(transform(filter({parts}, p -> p rlike '\\\\S'), p -> xxhash64(p)))"
+    ends = f"filter(sequence(1, size(w)), i -> i = size(w) OR right(get(w, i - 1), 1) IN ('.', '!', '?') OR pmod(xxhash64(get(w, i - 1)), {CUT}) = 0)"
+    parts = let(ends, "e", "transform(e, (x, k) -> xxhash64(slice(w, if(k = 0, 0, get(e, k - 1)) + 1, x - if(k = 0, 0, get(e, k - 1)))))")
+    lines = f"filter(transform(split({text}, '\\\\n'), l -> filter(split(l, '\\\\s+'), x -> x <> '')), w -> size(w) > 0)"
+    return f"array_distinct(flatten(transform({lines}, w -> {parts})))"
 
 
 def sketch(keys: str, width: int = WIDTH) -> str:
@@ -68,21 +72,37 @@ def peeled(cells: str, width: int = WIDTH) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'f', cast(array() AS array<bigint>), 'end', false), (s, r) -> if(s.end, s, {step}), s -> if({left}, NULL, s.f))"
 
 
-def larger(a: str, b: str, level: int) -> str:
-    """Number of differing digests by groups, twice as many at each level; NULL where a group gets stuck."""
-    groups = f"greatest(1, cast(ceil((size({a}) + size({b})) / {GROUP}) AS int) * {1 << (level - 1)})"
-    part = lambda x, q: let(f"filter({x}, d -> pmod(shiftrightunsigned(d, 16), o.m) = g)", q, sketch(q, GROUP_WIDTH))
-    salted = lambda x: f"transform({x}, d -> xxhash64(d, {level}))"
-    all_ = f"transform(sequence(0, o.m - 1), g -> array_size({peeled(subtracted(part('o.a', 'u'), part('o.b', 'v')), GROUP_WIDTH)}))"
-    total = f"aggregate({all_}, 0, (n, x) -> n + x)"
-    return let(f"named_struct('a', {salted(a)}, 'b', {salted(b)}, 'm', {groups})", "o", total)
+def signed_sketch(entries: str, width: int) -> str:
+    """Cells of entries (k, n): n is 1 for a digest of the one version and -1 for one of the other, so shared digests cancel out."""
+    add = f"(a, x) -> named_struct('n', a.n + x.n, 'k', a.k ^ x.k, 'h', a.h ^ {check('x.k')})"
+    block = lambda j: f"transform(sequence(0L, {width - 1}L), c -> aggregate(filter({entries}, x -> {cell_of('x.k', j, width)} = c), {ZERO}, {add}))"
+    return f"concat({', '.join(map(block, range(3)))})"
+
+
+def dealt(entries: str) -> str:
+    """Groups of the named array of entries, under the hash of round r: sorted by group once and cut where the group changes."""
+    m = f"cast(ceil(size({entries}) / {GROUP}) AS int)"
+    hashed = f"transform({entries}, x -> named_struct('k', xxhash64(x.k, r), 'n', x.n))"
+    grouped = f"sort_array(transform({hashed}, x -> named_struct('g', pmod(shiftrightunsigned(x.k, 16), m), 'k', x.k, 'n', x.n)))"
+    starts = "filter(sequence(0, size(o) - 1), i -> i = 0 OR get(o, i).g <> get(o, i - 1).g)"
+    cut = "transform(b, (x, i) -> slice(o, x + 1, coalesce(get(b, i + 1), size(o)) - x))"
+    return let(m, "m", let(grouped, "o", let(starts, "b", cut)))
+
+
+def by_groups(a: str, b: str) -> str:
+    """Number of digests in one of two sets only, by sketches of groups; groups that get stuck are dealt again."""
+    side = lambda x, n: f"transform({x}, k -> named_struct('g', 0L, 'k', k, 'n', {n}))"
+    judged = f"transform(flatten(transform(s.left, u -> {dealt('u')})), v -> named_struct('f', array_size({peeled(signed_sketch('v', GROUP_WIDTH), GROUP_WIDTH)}), 'v', v))"
+    step = let(judged, "z", "named_struct('left', transform(filter(z, y -> y.f IS NULL), y -> y.v), 'found', aggregate(z, s.found, (n, y) -> n + coalesce(y.f, 0)))")
+    keys = lambda n: f"transform(filter(u, x -> x.n = {n}), x -> x.k)"
+    rest = f"aggregate(s.left, s.found, (n, u) -> n + size(array_except({keys(1)}, {keys(-1)})) + size(array_except({keys(-1)}, {keys(1)})))"
+    start = f"named_struct('left', array(concat({side(a, 1)}, {side(b, -1)})), 'found', 0)"
+    return f"aggregate(sequence(1, {RETRIES}), {start}, (s, r) -> if(size(s.left) = 0, s, {step}), s -> {rest})"
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """Number of digests in one of two sets only. Sets that can't differ by few enough skip the first sketches."""
-    first = f"if(abs(size({a}) - size({b})) <= {WIDTH} AND size({a}) + size({b}) <= {CELLS + CELLS // 2}, array_size({peeled(subtracted(cells_a, cells_b))}), NULL)"
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    return f"coalesce({first}, {larger(a, b, 1)}, {larger(a, b, 2)}, {larger(a, b, 3)}, {exact})"
+    """Number of digests in one of two sets only: from the fingerprints, and by groups where these don't hold enough."""
+    return f"coalesce(array_size({peeled(subtracted(cells_a, cells_b))}), {by_groups(a, b)})"
 
 
 def likeness(a: str, b: str, n: str) -> str:

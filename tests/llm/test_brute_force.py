@@ -10,9 +10,11 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sievekit.llm import packing, quality_rules, suffix_dedup, toxicity
+from sievekit.llm.fingerprint import difference, fingerprints, sketch
 from sievekit.llm.piece_transducer import Transducer
 from sievekit.llm.queries import QUERIES
 from sievekit.llm.sentence_dedup import runs, sentences
@@ -96,10 +98,22 @@ def test_op10_components(spark, texts):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(word_set(t)), want[i], want[i] == i) for i, t in texts.items()}
 
 
-def test_op9_fingerprints(spark, texts):
-    def paragraphs(t):
-        return {p for line in t.split("\n") for p in (re.split(r"(?<=[.!?])\s+", line) if len(line) > 800 else [line]) if p.strip()}
+def paragraphs(text):
+    """The words of each line, cut after a stop and after every word whose hash is a multiple of 16."""
+    found = set()
+    for line in text.split("\n"):
+        part = []
+        for w in re.findall(r"[^ \t\n\x0b\f\r]+", line):
+            part.append(w)
+            if w[-1] in ".!?" or xxhash.xxh64_intdigest(w.encode(), 42) % 16 == 0:
+                found.add(tuple(part))
+                part = []
+        if part:
+            found.add(tuple(part))
+    return found
+
 
+def test_op9_fingerprints(spark, texts):
     got, ids = rows(spark, "op9_bloom_lookup_fingerprints"), sorted(texts)
     for n, i in enumerate(ids):
         t, other = texts[i], texts[ids[(n + 1) % len(ids)]]
@@ -109,6 +123,22 @@ def test_op9_fingerprints(spark, texts):
         assert got[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and got[i]["near_next"] == pytest.approx(len(a & c) / len(a | c))
 
 
+def test_op9_one_line_texts_stay_near_their_edits(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    lines = [" ".join(word() for _ in range(rng.randint(80, 140))) + rng.choice(["", "."]) for _ in range(60)]
+    got = fingerprints(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert len(got) == 60 and sum(r["near_edited"] > r["near_next"] for r in got) >= 54  # a half without a cut is rare at this length
+
+
+@pytest.mark.parametrize("kept", [0, 1, 900, 2990, 3000])
+def test_op9_differences_of_long_documents(spark, kept):
+    """Thousands of differing paragraphs, so that sketches get stuck and groups are dealt again."""
+    both = spark.range(1).selectExpr("transform(sequence(1, 3000), x -> xxhash64(x)) a", f"transform(sequence({3001 - kept}, {6000 - kept}), x -> xxhash64(x)) b")
+    cells = both.withColumns({"ca": F.expr(sketch("a")), "cb": F.expr(sketch("b"))})
+    assert cells.select(F.expr(difference("a", "b", "ca", "cb"))).first()[0] == 2 * (3000 - kept)
+
+
 def test_op8_packs_every_id_once(spark, texts):
     from tokenizers import Tokenizer
 
