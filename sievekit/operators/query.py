@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import operator
-import time
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
@@ -257,17 +256,3 @@ def answer(result: DataFrame, payload: dict, source_id: str, id_col: str | None
     return result.agg(F.count(F.lit(1)).alias("result_count"), ids.alias("ids_digest")).select(
         F.lit(source_id).alias("source_id"), F.lit(read_payload(payload).engine).alias("engine"),
         F.lit(json.dumps(payload, sort_keys=True, default=str)).alias("query"), "result_count", "ids_digest")
-
-
-def store_result(result: DataFrame, query_id: str, source_id: str, ttl_seconds: int = 600) -> DataFrame:
-    """Rule Q14: result rows tagged for re-reading (``query_results`` table rows)."""
-    expires = time.time() + ttl_seconds
-    return result.select(F.lit(query_id).alias("query_id"), F.lit(source_id).alias("source_id"),
-                         F.lit(expires).cast("timestamp").alias("expires_at"),
-                         F.to_json(F.struct(*result.columns)).alias("row"))
-
-
-def reread_result(stored: DataFrame, query_id: str, source_id: str, limit: int | None = None) -> DataFrame:
-    """Rows of a stored result that hasn't expired."""
-    rows = stored.filter((F.col("query_id") == query_id) & (F.col("source_id") == source_id) & (F.col("expires_at") > F.current_timestamp()))
-    return rows if limit is None else rows.limit(limit)
