@@ -25,6 +25,7 @@ PK_UNIQUE_MIN = 0.9
 ENUM_PRESENCE_MIN = 0.5
 ENUM_MAX_VALUES = 10
 COERCION_NUMERIC_MIN = 0.6
+BOOSTS = {"date": 0.05, "number": 0.02, "boolean": 0.02}  # the first that fits
 EXAMPLES_PER_PATH = 3
 SCALAR_TYPES = ["null", "boolean", "integer", "number", "string"]
 
@@ -162,6 +163,27 @@ def path_stats(records: DataFrame, by: list[str]) -> DataFrame:
     return base.join(first, [*by, "path"]).withColumn("examples", examples)
 
 
+def semantic_boost(jtype: Column, text: Column) -> Column:
+    """Rule T14: what a string's look adds to a confidence; the first look that fits decides, other types add nothing."""
+    looks = semantics(text)
+    boost = F.lit(0.0)
+    for look in reversed(BOOSTS):
+        boost = F.when(looks[f"looks_like_{look}"], F.lit(BOOSTS[look])).otherwise(boost)
+    return F.when(jtype == "string", boost).otherwise(F.lit(0.0))
+
+
+def example_values(records: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """Rule T18: (by, name, jtype, token, boost) of the first value that isn't null, by record order, of each field asked for; null where there is none.
+
+    The least of each field is taken in the tasks, so a hot source moves one row a task and field.
+    """
+    first = F.min(F.when(F.col("jtype") != "null", F.struct("ord", "pos", "jtype", "token")))
+    found = long_fields(records, keep=(*by, "ord")).filter(F.col("name").isin(names)).groupBy(*by, "name").agg(first.alias("first"))
+    asked = records.groupBy(*by).agg(F.array(*[F.lit(n) for n in dict.fromkeys(names)]).alias("names")).select(*by, F.explode("names").alias("name"))
+    rows = asked.join(found, [*by, "name"], "left").select(*by, "name", "first.jtype", "first.token")
+    return rows.withColumn("boost", F.coalesce(semantic_boost(F.col("jtype"), _token_text(F.col("token"))), F.lit(0.0)))
+
+
 def path_suggestions(stats: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     """Rules T10-T12: primary-key candidate, enum suggestion, coercion hint per path.
 

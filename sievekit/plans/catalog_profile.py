@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.typing import semantics
 from sievekit.operators.normalize import long_fields
-from sievekit.operators.profile import path_stats, path_suggestions, schema_fields, type_summary
+from sievekit.operators.profile import example_values, path_stats, path_suggestions, schema_fields, type_summary
 from sievekit.plans.common import records_of
 from sievekit.sources import render
 
@@ -201,7 +201,26 @@ from p cross join tot join s using (path) join ev using (path)
 """
 
 
+def example_values_q(spark, sf):
+    """First values of four fields of each priority's orders; notes are null but for every third order, nothing has no value at all."""
+    o = render.table(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("string")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"n'), k, F.lit('"'))).otherwise(F.lit("null"))
+    text = F.concat(F.lit('{"id": '), k, F.lit(', "day": "'), F.col("o_orderdate").cast("date").cast("string"), F.lit('", "note": '), note, F.lit("}"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("source_id"), text.alias("text"))
+    return example_values(records_of(docs, "json"), ["id", "day", "note", "nothing"], ["source_id"])
+
+
+EXAMPLE_VALUES_SQL = """
+select o_orderpriority as source_id, 'id' as name, 'integer' as jtype, cast(min(o_orderkey) as varchar) as token, 0.0::double as boost from orders group by 1
+union all select o_orderpriority, 'day', 'string', '"' || cast(cast(arg_min(o_orderdate, o_orderkey) as date) as varchar) || '"', 0.05 from orders group by 1
+union all select o_orderpriority, 'note', 'string', '"n' || cast(min(o_orderkey) as varchar) || '"', 0.0 from orders where o_orderkey % 3 = 0 group by 1
+union all select distinct o_orderpriority, 'nothing', null, null, 0.0::double from orders
+"""
+
+
 CATALOG = {
+    "example_values": (example_values_q, EXAMPLE_VALUES_SQL),
     "semantics_flags": (semantics_flags, SEMANTICS_FLAGS_SQL),
     "type_merge": (type_merge, TYPE_MERGE_SQL),
     "field_confidence": (field_confidence, FIELD_CONFIDENCE_SQL),
