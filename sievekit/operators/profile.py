@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievekit.functions.typing import semantics
+from sievekit.functions.typing import json_string_token, semantics
 from sievekit.operators.normalize import long_fields
+from sievekit.operators.schema_tree import variant_kind
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's rules (stated together).
@@ -46,6 +47,13 @@ def type_summary(fields_long: DataFrame, by: list[str]) -> DataFrame:
     return _voted(per_field, by)
 
 
+def type_ratio(fields_long: DataFrame, by: list[str]) -> DataFrame:
+    """Rule T13 per (by, field name): occurrences and the share of the most frequent type, 3 digits; integer and number aren't folded."""
+    counts = fields_long.groupBy(*by, "name", "jtype").agg(F.count(F.lit(1)).alias("cnt"))
+    per_field = counts.groupBy(*by, "name").agg(F.sum("cnt").alias("occurrences"), F.max("cnt").alias("_most"))
+    return per_field.select(*by, "name", "occurrences", F.bround(F.col("_most") / F.col("occurrences"), 3).alias("type_ratio"))
+
+
 def _voted(per_field: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """The vote over the type counts ``tc`` of each field; carried columns pass through."""
     both = F.exists("tc", lambda x: x.jtype == "integer") & F.exists("tc", lambda x: x.jtype == "number")
@@ -95,6 +103,27 @@ def schema_fields(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def value_records(values: DataFrame, value: str = "value") -> DataFrame:
+    """Rule T20: fragments of any kind as records with ``fields``: an object gives its own fields, any other value the one field ``value``.
+
+    ``value`` is a text column. JSON text stands for what it holds, any other text (the empty one too) for a string, and null for null. Names are
+    unique in an object, so they are listed by name; the other columns are carried.
+    """
+    v = F.try_parse_json(F.col(value))
+    parsed = values.withColumn("_v", v)
+    token = F.when(F.col("_v").isNotNull(), F.to_json("_v")).when(F.col(value).isNull(), "null").otherwise(json_string_token(F.col(value)))
+    kind = F.when(F.col("_v").isNotNull(), variant_kind(F.col("_v"))).when(F.col(value).isNull(), "null").otherwise("string")
+    own = F.transform(F.map_entries(F.expr("try_cast(_v AS map<string, variant>)")), lambda e: F.struct(
+        e["key"].alias("name"), F.coalesce(variant_kind(e["value"]), F.lit("null")).alias("jtype"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("token")))
+    one = F.array(F.struct(F.lit("value").alias("name"), kind.alias("jtype"), token.alias("token")))
+    return parsed.withColumn("fields", F.when(kind == "object", own).otherwise(one)).drop("_v")
+
+
+def source_schema(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Rule T20: the schema (see ``schema_fields``) of each source's fragments (by..., ord, value) of mixed kinds."""
+    return schema_fields(value_records(values, value), by)
+
+
 def schema_stats(fields: DataFrame, by: list[str]) -> DataFrame:
     """Rule T19 stats per batch: fields_detected, avg_confidence, total_records."""
     return fields.groupBy(*by).agg(

@@ -16,7 +16,7 @@ ITEMS = "[]"
 NO_CHANGE, SAME_STRUCTURE = "No changes detected", "Schema structure unchanged"
 
 
-def _kind(v: Column) -> Column:
+def variant_kind(v: Column) -> Column:
     """JSON type of a VARIANT value; whole numbers are integers however large."""
     t = F.schema_of_variant(v)
     return (
@@ -38,7 +38,7 @@ def levels(records: DataFrame, by: list[str]) -> list[DataFrame]:
     nodes = records.select(*by, F.array().cast("array<string>").alias("steps"), F.try_parse_json("data").alias("v")).filter("v IS NOT NULL")
     out = []
     while True:
-        nodes = _written(nodes.withColumn("kind", _kind(F.col("v"))))
+        nodes = _written(nodes.withColumn("kind", variant_kind(F.col("v"))))
         out.append(nodes.groupBy(*by, "steps", "kind").agg(F.count(F.lit(1)).alias("n")))
         inner = nodes.filter(F.col("kind").isin("object", "array"))
         if inner.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievekit.operators.extract import extract_fragments
-from sievekit.operators.grouping import assign_groups, group_schemas, route, serialize_value, validate_records
+from sievekit.operators.grouping import assign_groups, flatten_struct, group_schemas, route, serialize_value, validate_records
 from sievekit.operators.normalize import build_records
 from sievekit.operators.profile import schema_fields
 from sievekit.sources import render
@@ -68,7 +68,7 @@ def flatten_serialize(spark, sf):
     rows = recs.select("doc_id", F.explode("fields").alias("f"))
     ser = rows.select("doc_id", F.col("f.name").alias("name"), serialize_value(F.col("f.token"), F.col("f.jtype")).alias("v"))
     nested = recs.select("doc_id", F.from_json("data", "struct<order:struct<key:bigint,status:string>>").alias("d"))
-    flat = nested.select("doc_id", F.col("d.order.key").alias("order_key"), F.col("d.order.status").alias("order_status"))
+    flat = flatten_struct(nested, "d")
     tags = ser.filter(F.col("name") == "tags").select("doc_id", F.col("v").alias("tags_json"))
     return flat.join(tags, "doc_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievekit.functions.typing import semantics
 from sievekit.operators.normalize import long_fields
-from sievekit.operators.profile import example_values, path_stats, path_suggestions, schema_fields, type_summary
+from sievekit.operators.profile import example_values, path_stats, path_suggestions, schema_fields, source_schema, type_ratio, type_summary
 from sievekit.plans.common import records_of
 from sievekit.sources import render
 
@@ -83,11 +83,7 @@ from f join d using (source_id) join u using (source_id)
 
 
 def field_confidence(spark, sf):
-    long = _typed_long(spark, sf)
-    per_type = long.groupBy("source_id", "name", "jtype").agg(F.count(F.lit(1)).alias("cnt"))
-    agg = per_type.groupBy("source_id", "name").agg(F.max("cnt").alias("max_cnt"), F.sum("cnt").alias("occurrences"))
-    return agg.select("source_id", "name", "occurrences",
-                      F.bround(F.col("max_cnt") / F.col("occurrences"), 3).alias("type_ratio"))
+    return type_ratio(_typed_long(spark, sf), ["source_id"])
 
 
 FIELD_CONFIDENCE_SQL = _TYPES_CTE + """
@@ -219,7 +215,58 @@ union all select distinct o_orderpriority, 'nothing', null, null, 0.0::double fr
 """
 
 
+def source_schema_q(spark, sf):
+    """Each priority's orders as objects, bare numbers, lists, plain texts and nulls, in one schema."""
+    o = render.table(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("string")
+    form = F.col("o_orderkey") % 7
+    value = (F.when(form < 3, F.concat(F.lit('{"id": '), k, F.when(form == 0, F.concat(F.lit(', "prio": "'), F.col("o_orderpriority"), F.lit('"'))).otherwise(F.lit("")), F.lit("}")))
+             .when(form == 3, k).when(form == 4, F.concat(F.lit("["), k, F.lit("]"))).when(form == 5, F.concat(F.lit("note "), k)))
+    fragments = o.select(F.col("o_orderpriority").alias("source_id"), F.col("o_orderkey").alias("ord"), value.alias("value"))
+    out = source_schema(fragments, ["source_id"])
+    return out.select("source_id", "name", "type", "nullable", "example_value", "confidence", "occurrences", "total_records")
+
+
+SOURCE_SCHEMA_SQL = """
+with o as (select o_orderpriority as source_id, o_orderkey as k, o_orderkey % 7 as form from orders),
+tot as (select source_id, count(*) as n from o group by 1),
+kinds as (select source_id, case form when 3 then 'integer' when 4 then 'array' when 5 then 'string' else 'null' end as t, count(*) as c
+          from o where form > 2 group by all),
+top as (select source_id, arg_min(t, (-c, t)) as t, max(c) as c, sum(c) as occ from kinds group by 1),
+firsts as (select source_id, arg_min(case form when 3 then cast(k as varchar) when 4 then '[' || k || ']' else '"note ' || k || '"' end, k) as e
+           from o where form between 3 and 5 group by 1),
+f as (
+  select source_id, 'id' as name, 'integer' as type, cast(min(k) as varchar) as example_value, 1.0::double as confidence, count(*) as occ from o where form < 3 group by 1
+  union all select source_id, 'prio', 'string', '"' || source_id || '"', 1.0, count(*) from o where form = 0 group by 1
+  union all select source_id, 'value', t, e, round_even(c / occ, 3), occ from top left join firsts using (source_id))
+select source_id, name, type, occ < n as nullable, example_value, confidence, cast(occ as bigint) as occurrences, n as total_records
+from f join tot using (source_id)
+"""
+
+
+def coercion_hints(spark, sf):
+    """The share of numeric-looking strings decides; four of five codes of one customer look like numbers, one of five codes of the next."""
+    o = render.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    looks = F.when(F.col("o_custkey") % 2 == 0, k % 5 != 0).otherwise(k % 5 == 0)
+    code = F.concat(F.when(looks, F.lit("")).otherwise(F.lit("c")), k.cast("string"))
+    text = F.concat(F.lit('---\ncode: "'), code, F.lit('"\nkey: '), k.cast("string"), F.lit("\n---\nDone.\n"))  # quoted in YAML a number stays a string
+    docs = o.select(k.alias("doc_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("source_id"), text.alias("text"))
+    recs = records_of(docs, "yaml_block")
+    totals = recs.groupBy("source_id").agg(F.count(F.lit(1)).alias("total_records"))
+    return path_suggestions(path_stats(recs, ["source_id"]), totals, ["source_id"]).select("source_id", "path", "dominant", "coercion")
+
+
+COERCION_HINTS_SQL = """
+with o as (select 'c' || (o_custkey % 50) as source_id, case when o_custkey % 2 = 0 then o_orderkey % 5 <> 0 else o_orderkey % 5 = 0 end as looks from orders)
+select source_id, 'code' as path, 'string' as dominant, case when count_if(looks) / count(*) >= 0.6 then 'strings_mostly_numeric' end as coercion from o group by 1
+union all select distinct source_id, 'key', 'integer', null from o
+"""
+
+
 CATALOG = {
+    "source_schema": (source_schema_q, SOURCE_SCHEMA_SQL),
+    "coercion_hints": (coercion_hints, COERCION_HINTS_SQL),
     "example_values": (example_values_q, EXAMPLE_VALUES_SQL),
     "semantics_flags": (semantics_flags, SEMANTICS_FLAGS_SQL),
     "type_merge": (type_merge, TYPE_MERGE_SQL),

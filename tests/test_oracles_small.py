@@ -11,7 +11,8 @@ from scripts.check_oracles import TABLES, digest
 SF = "/root/testdata/sf0.001"
 PICK = ["kv_roundtrip", "json_repair", "csv_roundtrip", "html_roundtrip", "yaml_inline", "type_merge",
         "schema_fields", "version_assign", "group_tables", "q_topk", "schema_tree", "nested_schema_diff", "registry_history",
-        "duplicate_upload", "clustered_read", "table_roundtrip", "pipeline_evidence", "file_documents", "stored_result", "example_values"]
+        "duplicate_upload", "clustered_read", "table_roundtrip", "pipeline_evidence", "file_documents", "stored_result", "example_values",
+        "source_schema", "coercion_hints", "field_confidence", "flatten_serialize"]
 
 
 @pytest.fixture(scope="module")
