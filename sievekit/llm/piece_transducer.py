@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a weighted transducer (operator 3).
 
 Compiled once from a model file: a normaliser (blanks to a mark, a mark before the text), the pieces as a trie with failure arcs, byte arcs for
-characters that are no piece, and an acceptor of neighbouring pieces. Arc weights are tropical: minus the score for a unigram model. In
+characters that are no piece (one unknown id for a run of them in a model without byte pieces), and an acceptor of neighbouring pieces. Arc weights are tropical: minus the score for a unigram model. In
 a BPE model merges decide, not sums: a sequence of pieces is what merging yields exactly if each two neighbours, merged on
 their own, stay as they are; so pieces weigh nothing and a pair of neighbours weighs nothing or infinity. The input is composed with all
 of these and its shortest path is the encoding. A piece never holds a blank behind another character, so composition is done word by
@@ -47,9 +47,12 @@ class Transducer:
         self.pieces = [p.piece for p in model.pieces]
         self.score = [p.score for p in model.pieces]
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        if self.bpe and not all(ch in self.id for piece in self.id for ch in piece):  # merging would join characters that are no pieces
+            raise ValueError("a BPE model's pieces must be made of characters that are pieces")
         byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        self.fallback = lambda ch: [byte[b] for b in ch.encode("utf-8", "replace")] if len(byte) == 256 else [unknown]
+        self.unknown = None if len(byte) == 256 else unknown
+        self.fallback = lambda ch: [unknown] if self.unknown is not None else [byte[b] for b in ch.encode("utf-8", "replace")]
         self.worst = min(self.score[i] for i in self.id.values()) - 10.0
         self.trie = ahocorasick.Automaton()
         for piece, i in self.id.items():
@@ -138,7 +141,12 @@ class Transducer:
         if not text:
             return b""
         text = text.replace(" ", MARK)
-        return b"".join(map(self.memo.__getitem__, self.words(MARK + text if self.prefix else text)))
+        ids = b"".join(map(self.memo.__getitem__, self.words(MARK + text if self.prefix else text)))
+        if self.unknown is None:
+            return ids
+        each = np.frombuffer(ids, "<u4")  # neighbouring unknown characters are one piece, across words too
+        again = (each[1:] == self.unknown) & (each[:-1] == self.unknown)
+        return each[np.r_[True, ~again]].tobytes()
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
