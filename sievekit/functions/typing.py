@@ -58,8 +58,10 @@ def py_strip(x) -> Column:
 
 def json_string_token(x) -> Column:
     """A string rendered as a quoted, escaped JSON string token."""
-    arr = F.to_json(F.array(_c(x)))
-    return F.regexp_extract(arr, r"(?s)^\[(.*)\]$", 1)
+    v = _c(x)
+    arr = F.to_json(F.array(v))
+    # most texts hold nothing to escape
+    return F.when(v.isNotNull() & ~v.rlike(r'["\\\x00-\x1f]'), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(F.substring(arr, F.lit(2), F.length(arr) - 2))
 
 
 def typed(jtype: str | Column, token: Column) -> Column:

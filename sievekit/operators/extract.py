@@ -2,19 +2,21 @@
 
 One pass over the documents table.  Fenced code blocks are cut out natively.
 Key-value, JSON, CSV, HTML-table and YAML scanning are sequential and linear in
-the text; they share one Arrow-batched pandas UDF, which receives the text only
+the text; they share one Arrow UDF, which receives the text only
 when a cheap native test says it can hold a fragment (otherwise NULL crosses to
 Python).  What can't be read becomes a fragment with ``parse_error`` and a ``reason``.
 
-All per-type fragment arrays are mapped to one struct shape, concatenated and
-exploded once, so the documents are scanned a single time.
+The scanners' fragments have one struct shape and are exploded once, so the
+documents are scanned a single time.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from sievekit.functions import scanners
 from sievekit.functions.typing import py_strip
@@ -33,17 +35,10 @@ FIELD_T = "array<struct<name:string,jtype:string,token:string>>"
 PATH_T = "array<struct<path:string,jtype:string,token:string>>"
 ENTRY_T = "array<struct<k:string,v:string>>"
 
-_JSON_UDF_T = f"array<struct<start:int,end:int,raw:string,ok:boolean,data:string,fields:{FIELD_T},paths:{PATH_T},reason:string>>"
-_CSV_UDF_T = (
-    "array<struct<start:int,end:int,delimiter:string,headers:array<string>,"
-    "rows:array<array<string>>,reason:string>>"
+_FRAGMENT_T = (
+    "struct<type_rank:int,type_first:int,ordinal:int,start:int,end:int,raw:string,ok:boolean,confidence:double,headers:array<string>,"
+    f"delimiter:string,block_type:string,entries:{ENTRY_T},rows:array<array<string>>,data:string,fields:{FIELD_T},paths:{PATH_T},reason:string>"
 )
-_HTML_UDF_T = "array<struct<start:int,end:int,headers:array<string>,rows:array<array<string>>,reason:string>>"
-_YAML_UDF_T = (
-    "array<struct<start:int,end:int,raw:string,block_type:string,confidence:double,data:string,"
-    f"fields:{FIELD_T},paths:{PATH_T},reason:string>>"
-)
-_KV_UDF_T = f"array<struct<start:int,end:int,raw:string,entries:{ENTRY_T}>>"
 
 
 _UDF_CACHE: dict = {}
@@ -78,53 +73,39 @@ def code_blocks(text) -> Column:
     return F.coalesce(inside, F.array().cast("array<string>"))
 
 
-# --- assembling fragments ----------------------------------------------------
-
-
-def _frag(source_type, ordinal, start, end, raw, confidence, parse_error=None, headers=None, delimiter=None,
-          block_type=None, entries=None, rows=None, data=None, fields=None, paths=None, reason=None) -> Column:
-    def lit_or(x, t):
-        return F.lit(None).cast(t) if x is None else x.cast(t)
-
-    return F.struct(
-        F.lit(source_type).alias("source_type"),
-        ordinal.cast("int").alias("ordinal"),
-        start.cast("int").alias("offset_start"),
-        end.cast("int").alias("offset_end"),
-        lit_or(raw, "string").alias("raw"),
-        F.lit(confidence).cast("double").alias("confidence") if not isinstance(confidence, Column)
-        else confidence.cast("double").alias("confidence"),
-        lit_or(parse_error, "boolean").alias("parse_error"),
-        lit_or(headers, "array<string>").alias("headers"),
-        lit_or(delimiter, "string").alias("delimiter"),
-        lit_or(block_type, "string").alias("block_type"),
-        lit_or(entries, ENTRY_T).alias("entries"),
-        lit_or(rows, "array<array<string>>").alias("rows"),
-        lit_or(data, "string").alias("data"),
-        lit_or(fields, FIELD_T).alias("fields"),
-        lit_or(paths, PATH_T).alias("paths"),
-        lit_or(reason, "string").alias("reason"),
-    )
-
+# --- scanning ------------------------------------------------------------------
 
-_SCAN_ALL_T = f"struct<json:{_JSON_UDF_T},kv:{_KV_UDF_T},csv:{_CSV_UDF_T},html:{_HTML_UDF_T},yaml:{_YAML_UDF_T}>"
 
-
-def _scan_all(text: str) -> dict:
-    """All scanners over one text; each skips texts that cannot hold its fragments."""
+def _scan_all(text: str) -> list[dict]:
+    """The fragments of one text, type by type; each scanner skips texts that cannot hold its fragments."""
     found = scanners.json_fragments(text) if "{" in text else []
-    return {
-        "json": found,
-        "kv": scanners.kv_blocks(text, [(j["start"], j["end"]) for j in found]) if ":" in text else [],
-        "csv": scanners.csv_blocks(text),
-        "html": scanners.html_tables(text),
-        "yaml": scanners.yaml_blocks(text),
-    }
-
-
-def _scan_all_series(texts: pd.Series) -> pd.DataFrame:
-    names = ["json", "kv", "csv", "html", "yaml"]
-    return pd.DataFrame([_scan_all(t) if isinstance(t, str) else {n: [] for n in names} for t in texts], columns=names)
+    kinds = [
+        found,
+        scanners.kv_blocks(text, [(j["start"], j["end"]) for j in found]) if ":" in text else [],
+        scanners.html_tables(text),
+        scanners.csv_blocks(text),
+        scanners.yaml_blocks(text),
+    ]
+    out = []
+    for rank, fragments in enumerate(kinds):
+        if fragments:
+            first = min(f["start"] for f in fragments)
+            for ordinal, f in enumerate(fragments, 1):
+                f |= {"type_rank": rank, "type_first": first, "ordinal": ordinal}
+                if "raw" not in f:
+                    f["raw"] = text[f["start"]:f["end"]]
+            out += fragments
+    return out
+
+
+def _scan_udf():
+    spark_type = DataType.fromDDL(f"array<{_FRAGMENT_T}>")
+    arrow_type = to_arrow_type(spark_type)
+
+    def scan(texts: pa.Array) -> pa.Array:
+        return pa.array([_scan_all(t) if t is not None else [] for t in texts.to_pylist()], arrow_type)
+
+    return F.arrow_udf(scan, spark_type)
 
 
 def scan_columns(text: Column) -> list[Column]:
@@ -134,7 +115,7 @@ def scan_columns(text: Column) -> list[Column]:
     are sent; the others cross as NULL.
     """
     if "all" not in _UDF_CACHE:
-        _UDF_CACHE["all"] = F.pandas_udf(_scan_all_series, _SCAN_ALL_T)
+        _UDF_CACHE["all"] = _scan_udf()
     can_hold = (F.instr(text, "{") > 0) | (F.instr(text, ",") > 0) | (F.instr(text, "\t") > 0) | (F.instr(text, ":") > 0)
     can_hold = can_hold | (F.instr(text, "<table") > 0)
     return [_UDF_CACHE["all"](F.when(can_hold, text)).alias("_scan")]
@@ -147,33 +128,6 @@ def csv_confidence(headers: Column, rows: Column, delimiter: Column) -> Column:
     return F.least(parts, F.lit(CSV_MOST))
 
 
-def fragment_arrays(text: Column) -> dict[str, Column]:
-    """Per-type fragment arrays of one text, each already in the common struct shape.
-
-    Expects the columns made by ``scan_columns`` next to ``text``.
-    """
-    json_arr = F.coalesce(F.col("_scan.json"), F.array().cast(_JSON_UDF_T))
-    kv_arr = F.coalesce(F.col("_scan.kv"), F.array().cast(_KV_UDF_T))
-    csv_arr, html_arr, yaml_arr = F.col("_scan.csv"), F.col("_scan.html"), F.col("_scan.yaml")
-    return {
-        "json": F.transform(json_arr, lambda j, i: _frag(
-            "json", i + 1, j.start, j.end, j.raw,
-            F.when(j.ok, F.lit(JSON_CONFIDENCE)).otherwise(F.lit(JSON_ERROR_CONFIDENCE)),
-            parse_error=~j.ok, data=j.data, fields=j.fields, paths=j.paths, reason=j.reason)),
-        "kv": F.transform(kv_arr, lambda b, i: _frag(
-            "kv", i + 1, b.start, b.end, b.raw, KV_CONFIDENCE, entries=b.entries)),
-        "html_table": F.transform(F.coalesce(html_arr, F.array().cast(_HTML_UDF_T)), lambda h, i: _frag(
-            "html_table", i + 1, h.start, h.end, F.substring(text, h.start + 1, h.end - h.start), HTML_CONFIDENCE,
-            headers=h.headers, rows=h.rows, parse_error=F.when(h.reason.isNotNull(), True), reason=h.reason)),
-        "csv_block": F.transform(F.coalesce(csv_arr, F.array().cast(_CSV_UDF_T)), lambda c, i: _frag(
-            "csv_block", i + 1, c.start, c.end, F.substring(text, c.start + 1, c.end - c.start),
-            csv_confidence(c.headers, c.rows, c.delimiter), headers=c.headers, delimiter=c.delimiter, rows=c.rows)),
-        "yaml_block": F.transform(F.coalesce(yaml_arr, F.array().cast(_YAML_UDF_T)), lambda y, i: _frag(
-            "yaml_block", i + 1, y.start, y.end, y.raw, y.confidence, block_type=y.block_type,
-            data=y.data, fields=y.fields, paths=y.paths, parse_error=F.when(y.reason.isNotNull(), True), reason=y.reason)),
-    }
-
-
 _ID_PREFIX = {"json": "json_", "kv": "kv_", "html_table": "html_table_", "csv_block": "csv_block_", "yaml_block": "yaml_"}
 
 
@@ -186,32 +140,26 @@ def extract_fragments(documents: DataFrame, text_col: str = "text", keep_cols=("
     is the offset of the first fragment of that type in the document: records
     are grouped by type in first-seen order (rule N1).
 
-    Staged projections keep each expensive array in its own column, so no
-    scanner or fold is evaluated twice.
+    The scanners hand over all fragments of a text in one shape, so one explode makes the rows and
+    what depends on the type is a plain expression on each row.
     """
     keep = list(keep_cols)
-    text = F.col(text_col)
-    scanned = documents.select(*keep, text, *scan_columns(text))
-    arrays = fragment_arrays(text)
-    typed = scanned.select(*keep, *[arrays[t].alias(f"_a{r}") for r, t in enumerate(SOURCE_TYPES)])
-
-    def tag(rank: int) -> Column:
-        arr = F.col(f"_a{rank}")
-        first = F.array_min(F.transform(arr, lambda f: f.offset_start))
-        return F.transform(arr, lambda f: F.struct(F.lit(rank).alias("type_rank"), first.alias("type_first"), f.alias("f")))
-
-    exploded = typed.select(*keep, F.explode(F.concat(*[tag(r) for r in range(len(SOURCE_TYPES))])).alias("x"))
-    prefix = F.create_map(*[z for t, p in _ID_PREFIX.items() for z in (F.lit(t), F.lit(p))])
-    return exploded.select(
-        *keep,
-        F.col("x.f.source_type").alias("source_type"),
-        F.col("x.type_rank").alias("type_rank"),
-        F.col("x.type_first").alias("type_first"),
-        F.col("x.f.ordinal").alias("ordinal"),
-        F.concat(prefix[F.col("x.f.source_type")], F.col("x.f.ordinal").cast("string")).alias("fragment_id"),
-        *[F.col(f"x.f.{c}").alias(c) for c in (
-            "offset_start", "offset_end", "raw", "confidence", "parse_error", "headers", "delimiter",
-            "block_type", "entries", "rows", "data", "fields", "paths", "reason")],
+    scanned = documents.select(*keep, *scan_columns(F.col(text_col)))
+    # an outer explode: for a plain one the optimizer infers a filter on the array's size and scans every text once more, below the deal
+    x = scanned.select(*keep, F.explode_outer("_scan").alias("x")).filter("x IS NOT NULL").select(*keep, "x.*")
+    st = F.get(F.array(*map(F.lit, SOURCE_TYPES)), F.col("type_rank"))
+    prefix = F.get(F.array(*[F.lit(_ID_PREFIX[t]) for t in SOURCE_TYPES]), F.col("type_rank"))
+    is_ = lambda t: F.col("type_rank") == SOURCE_TYPES.index(t)
+    confidence = (
+        F.when(is_("json"), F.when(F.col("ok"), JSON_CONFIDENCE).otherwise(JSON_ERROR_CONFIDENCE)).when(is_("kv"), KV_CONFIDENCE).when(is_("html_table"), HTML_CONFIDENCE)
+        .when(is_("csv_block"), csv_confidence(F.col("headers"), F.col("rows"), F.col("delimiter"))).otherwise(F.col("confidence"))
+    )
+    parse_error = F.when(is_("json"), ~F.col("ok")).when(is_("html_table") | is_("yaml_block"), F.when(F.col("reason").isNotNull(), True))
+    return x.select(
+        *keep, st.alias("source_type"), "type_rank", "type_first", "ordinal",
+        F.concat(prefix, F.col("ordinal").cast("string")).alias("fragment_id"),
+        F.col("start").alias("offset_start"), F.col("end").alias("offset_end"), "raw", confidence.alias("confidence"), parse_error.alias("parse_error"),
+        "headers", "delimiter", "block_type", "entries", "rows", "data", "fields", "paths", "reason",
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from sievekit.functions.typing import json_string_token, semantics
 from sievekit.operators.normalize import long_fields
-from sievekit.operators.schema_tree import variant_kind
+from sievekit.operators.schema_tree import variant_kind, written
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's rules (stated together).
@@ -163,7 +163,7 @@ def path_stats(records: DataFrame, by: list[str]) -> DataFrame:
     semantic counts of strings, number of distinct values, and the first distinct values.
 
     All values count.  They are first summed by (path, token) with partial
-    aggregation; everything else is read from that one table.  The first
+    aggregation and written; everything else is read from that one table.  The first
     distinct values, by record order (``ord``) and position inside the record, are
     a top-k that Spark cuts in each task before the shuffle; k is one
     more than an enum may hold.
@@ -172,7 +172,7 @@ def path_stats(records: DataFrame, by: list[str]) -> DataFrame:
     num = F.when(F.col("vtype").isin("integer", "number"), F.col("token").try_cast("double"))
     tokens = walked_paths(records, keep).groupBy(*by, "path", "vtype", "token").agg(
         F.count(F.lit(1)).alias("cnt"), F.min(F.struct("ord", "seq")).alias("_o"))
-    tokens = tokens.withColumns({"text": _token_text(F.col("token")), "num": num})
+    tokens = written(tokens).withColumns({"text": _token_text(F.col("token")), "num": num})
     sem = semantics(F.col("text"))
     is_num = F.col("vtype").isin("integer", "number")
     is_str = F.col("vtype") == "string"

@@ -1,14 +1,18 @@
 """Nested schemas as trees of path rows: merged types, `required` by parent object, list items, diffs.
 
-A node is a list of steps: `.name` for a property, `[]` for the items of a list. Values are walked level by level as VARIANT, so records
-of any shape are read by built-in functions and the walk ends at the deepest container there is. All counts are sums of
+A node is a list of steps: `.name` for a property, `[]` for the items of a list. Texts are read as VARIANT and their nodes
+counted in the tasks, in one pass whatever their depth. All counts are sums of
 occurrences: names are unique in an object, so a property is required where it occurs as often as its parent occurs as an object.
 Trees and diffs are rows, joined and grouped like any other; nothing is collected but the depth.
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sievekit.session import shared_dir
 
@@ -25,28 +29,88 @@ def variant_kind(v: Column) -> Column:
     )
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """The rows, computed once: a table in the folder that all executors share."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def levels(records: DataFrame, by: list[str]) -> list[DataFrame]:
-    """Counts (by, steps, kind, n) of each depth, the records themselves first; each level is written once and its containers make the next."""
-    spark = records.sparkSession
-    nodes = records.select(*by, F.array().cast("array<string>").alias("steps"), F.try_parse_json("data").alias("v")).filter("v IS NOT NULL")
-    out = []
-    while True:
-        nodes = _written(nodes.withColumn("kind", variant_kind(F.col("v"))))
-        out.append(nodes.groupBy(*by, "steps", "kind").agg(F.count(F.lit(1)).alias("n")))
-        inner = nodes.filter(F.col("kind").isin("object", "array"))
-        if inner.isEmpty():
-            return out
-        child = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        step = F.when(F.col("kind") == "object", F.concat(F.lit("."), F.col("key"))).otherwise(ITEMS)
-        # an empty container has no children
-        nodes = child.filter("value IS NOT NULL").select(*by, F.concat("steps", F.array(step)).alias("steps"), F.col("value").alias("v"))
+#: Nodes that a task holds before it hands its counts on.
+MOST_NODES = 100_000
+_KINDS = {dict: "object", list: "array", bool: "boolean", int: "integer", float: "number", str: "string", type(None): "null"}
+
+
+class _Counts:
+    """How often each node of some texts stands as each kind: a tree of [counts by kind, properties, items]."""
+
+    def __init__(self) -> None:
+        self.roots: dict[tuple, list] = {}
+        self.nodes = 0
+
+    def node(self) -> list:
+        self.nodes += 1
+        return [{}, {}, None]
+
+    def add(self, key: tuple, value) -> None:
+        if key not in self.roots:
+            self.roots[key] = self.node()
+        todo = [(value, self.roots[key])]
+        while todo:
+            v, node = todo.pop()
+            kind = _KINDS[type(v)]
+            node[0][kind] = node[0].get(kind, 0) + 1
+            if kind == "object":
+                names = node[1]
+                for name, child in v.items():
+                    if name not in names:
+                        names[name] = self.node()
+                    todo.append((child, names[name]))
+            elif kind == "array" and v:
+                if node[2] is None:
+                    node[2] = self.node()
+                todo += [(child, node[2]) for child in v]
+
+    def rows(self):
+        todo = [(key, [], root) for key, root in self.roots.items()]
+        while todo:
+            key, steps, (kinds, names, items) = todo.pop()
+            yield from ((key, steps, kind, n) for kind, n in kinds.items())
+            todo += [(key, [*steps, f".{name}"], node) for name, node in names.items()]
+            if items:
+                todo.append((key, [*steps, ITEMS], items))
+
+
+def node_counts(records: DataFrame, by: list[str]) -> DataFrame:
+    """Counts (by, steps, kind, n) of the nodes of records (by, data), one pass over the texts; a node may have several rows, to be added up.
+
+    Spark reads the texts as VARIANT, so what is no JSON takes no part and numbers have its forms; a task adds up its own nodes before it hands them on.
+    """
+    texts = records.select(*by, F.to_json(F.try_parse_json("data")).alias("data")).filter("data IS NOT NULL")
+
+    def count(batches):
+        found = _Counts()
+
+        def table():
+            rows = [*found.rows()]
+            keys = [pa.array([r[0][i] for r in rows], types[i]) for i in range(len(by))]
+            rest = [pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())]
+            return pa.RecordBatch.from_arrays(keys + rest, [*by, "steps", "kind", "n"])
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            columns = [batch.column(c).to_pylist() for c in (*by, "data")]
+            for *key, text in zip(*columns):
+                found.add(tuple(key), json.loads(text))
+                if found.nodes > MOST_NODES:
+                    yield table()
+                    found = _Counts()
+        if found.roots:
+            yield table()
+
+    schema = StructType([*(records.schema[c] for c in by), StructField("steps", ArrayType(StringType())), StructField("kind", StringType()), StructField("n", LongType())])
+    return texts.mapInArrow(count, schema)
 
 
 def schema_tree(records: DataFrame, by: list[str]) -> DataFrame:
@@ -55,10 +119,7 @@ def schema_tree(records: DataFrame, by: list[str]) -> DataFrame:
     types are sorted, and integer is dropped beside number. n_parent: how often the parent is an object (for items: a list). The root
     is required; items are required where every list has one or more. Texts that are no JSON take no part.
     """
-    counts = None
-    for level in levels(records, by):
-        counts = level if counts is None else counts.unionByName(level)
-    counts = _written(counts)
+    counts = written(node_counts(records, by).groupBy(*by, "steps", "kind").agg(F.sum("n").alias("n")))
     nodes = counts.groupBy(*by, "steps").agg(F.array_sort(F.collect_set("kind")).alias("types"), F.sum("n").alias("n"))  # at most 7 kinds
     merged = F.when(F.array_contains("types", "number"), F.array_remove("types", "integer")).otherwise(F.col("types"))
     parents = counts.filter(F.col("kind").isin("object", "array")).select(*by, F.col("steps").alias("parent"), (F.col("kind") == "array").alias("of_items"), F.col("n").alias("n_parent"))
@@ -107,7 +168,7 @@ def json_schema(tree: DataFrame, by: list[str]) -> DataFrame:
         name = _quoted(F.expr("substring(element_at(steps, -1), 2)"))
         node = node.select(*by, F.expr(f"slice(steps, 1, {d - 1})").alias("parent"), (step == ITEMS).alias("item"), name.alias("name"), "text", "required")
         node = node.withColumns({"pair": F.when(~F.col("item"), F.concat("name", F.lit(":"), "text")), "must": F.when(~F.col("item") & F.col("required"), F.col("name"))})
-        done = _written(node.groupBy(*by, F.col("parent").alias("steps")).agg(
+        done = written(node.groupBy(*by, F.col("parent").alias("steps")).agg(
             F.expr("listagg(pair, ',') within group (order by pair)").alias("properties"),
             F.expr("listagg(must, ',') within group (order by must)").alias("req"),
             F.max(F.when(F.col("item"), F.col("text"))).alias("items"),
@@ -148,7 +209,7 @@ def tree_diff(tree: DataFrame, source: str = "source_id") -> DataFrame:
     both = old.join(new, [source, "version", "steps"], "full_outer").join(pairs, [source, "version"])
     inner = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("object|array")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "type").when(F.col("old_required") != F.col("new_required"), "required")
-    changed = _written(both.withColumn("change", change).filter("change IS NOT NULL"))
+    changed = written(both.withColumn("change", change).filter("change IS NOT NULL"))
     covers = changed.filter((F.col("change") != "required") & (F.col("change").isin("added", "removed") | (inner("old") != inner("new"))))
     covers = covers.select(source, "version", F.col("steps").alias("parent"))
     rows = changed.withColumn("parent", F.expr("slice(steps, 1, greatest(0, size(steps) - 1))"))

@@ -15,7 +15,7 @@ def order_uploads(spark, sf):
 
     A taken upload holds three fragments: the JSON object, the key-value block, and the same lines as inline YAML (E16).
     """
-    o = render.table(spark, sf, "orders")
+    o = render.rows(spark, sf, "orders")
     k = F.col("o_orderkey")
     rush = F.when(F.year("o_orderdate") >= 1998, F.lit(', "rush": true')).otherwise(F.lit(""))
     text = F.concat(F.lit('{"id": '), k.cast("string"), rush, F.lit("}\n\nmail: c"), F.col("o_custkey").cast("string"), F.lit("@example.org\nstate: s_"), F.col("o_orderstatus"), F.lit("\n"))

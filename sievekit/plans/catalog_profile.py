@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievekit.functions.typing import semantics
 from sievekit.operators.normalize import long_fields
 from sievekit.operators.profile import example_values, path_stats, path_suggestions, schema_fields, source_schema, type_ratio, type_summary
+from sievekit.operators.schema_tree import written
 from sievekit.plans.common import records_of
 from sievekit.sources import render
 
@@ -124,7 +125,7 @@ from f join tot using (source_id)
 
 
 def _nested_stats(spark, sf):
-    recs = records_of(render.nested_orders(spark, sf), "json")
+    recs = written(records_of(render.nested_orders(spark, sf), "json").select("source_id", "ord", "paths"))
     return recs, path_stats(recs, ["source_id"])
 
 

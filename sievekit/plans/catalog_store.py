@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievekit.operators.schema_tree import written
 from sievekit.plans.common import records_of
 from sievekit.session import shared_dir
 from sievekit.sources import layout, render, tables
@@ -13,13 +14,13 @@ LINE_FIELDS = [("qty", "number", True), ("flag", "string", False)]
 
 def table_roundtrip(spark, sf):
     """Line items into a typed table: sound rows come back typed, others are rejects with a reason."""
-    rows, rejects = tables.aligned(records_of(render.typed_lineitems(spark, sf), "kv"), LINE_FIELDS)
+    records = written(records_of(render.typed_lineitems(spark, sf), "kv").select("record_id", "source_id", "fields"))
+    rows, rejects = tables.aligned(records, LINE_FIELDS)
     path = shared_dir(spark)
     tables.append_rows(rows, path)
     stored = spark.read.schema(tables.struct_type([("record_id", "string", True), *LINE_FIELDS])).parquet(path).filter(tables.constraints(LINE_FIELDS))
     back = stored.agg(F.lit("stored").alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 2).alias("total"))
     # a table without the flag: the field is dropped, not the record; with the columns that every stored table has
-    records = records_of(render.typed_lineitems(spark, sf), "kv")
     narrow, _ = tables.aligned(records, LINE_FIELDS[:1], keep=("record_id", "source_id"))
     narrow_path = shared_dir(spark)
     tables.append_rows(tables.with_system_columns(narrow), narrow_path)

@@ -13,17 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a table's files for one task of heavy work, and the most tasks.
+SPREAD_BYTES, SPREAD_MOST = 4 << 20, 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tasks(spark: SparkSession, t: DataFrame) -> int:
+    """Three rounds of tasks at least, and one task for every few MB of files."""
+    size = int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(max(least, -(-size // SPREAD_BYTES)), SPREAD_MOST)
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy on each row: dealt out to many tasks, however few files or row groups hold it, before rows become texts."""
+    t = table(spark, sf_dir, name)
+    return t.repartition(_tasks(spark, t))
+
+
+def orders_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and line items, dealt by order key to as many tasks as the line items call for: what groups or joins by it stays there."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n = _tasks(spark, li)
+    return o.repartition(n, "o_orderkey"), li.repartition(n, "l_orderkey")
+
+
 def _num(c) -> F.Column:
     return F.col(c).cast("string")
 
 
 def kv_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-KV: one document per customer, a heading line then ``Key: value`` lines."""
-    c = table(spark, sf_dir, "customer")
+    c = rows(spark, sf_dir, "customer")
     text = F.concat(
         F.lit("Customer record\n"),
         F.lit("Customer Key: "), _num("c_custkey"), F.lit("\n"),
@@ -44,7 +68,7 @@ def kv_mixed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     right where a JSON object starts on the next line when c_custkey is even,
     so that line is excluded), then JSON, then block C (1 line).
     """
-    c = table(spark, sf_dir, "customer")
+    c = rows(spark, sf_dir, "customer")
     touch = (F.col("c_custkey") % 2) == 0
     text = F.concat(
         F.lit("name: "), F.col("c_name"), F.lit("\nsegment: "), F.col("c_mktsegment"), F.lit("\n"),
@@ -59,7 +83,7 @@ def kv_mixed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same key twice per order; after cleaning ``Order-Ref`` and ``order ref`` collide."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     text = F.concat(
         F.lit("ref: "), _num("o_orderkey"), F.lit("\n"),
         F.lit("status: "), F.col("o_orderstatus"), F.lit("\n"),
@@ -72,7 +96,7 @@ def kv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-JSON: prose, blank line, one JSON object per order, blank line, prose."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     obj = F.to_json(F.struct(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
@@ -85,7 +109,7 @@ def json_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_damaged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-JSON-BAD: by ``o_orderkey % 4``: 0 clean, 1 trailing comma, 2 single quotes, 3 unrepairable."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     k, st = _num("o_orderkey"), F.col("o_orderstatus")
     variant = F.col("o_orderkey") % 4
     obj = (
@@ -138,7 +162,7 @@ def html_nations_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def yaml_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-YAML: front matter with part fields, then prose."""
-    p = table(spark, sf_dir, "part")
+    p = rows(spark, sf_dir, "part")
     text = F.concat(
         F.lit("---\n"),
         F.lit("partkey: "), _num("p_partkey"), F.lit("\n"),
@@ -153,7 +177,7 @@ def yaml_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def yaml_inline_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline YAML: heading line, then space-free ``key: value`` lines."""
-    p = table(spark, sf_dir, "part")
+    p = rows(spark, sf_dir, "part")
     text = F.concat(
         F.lit("# Part sheet\n"),
         F.lit("part_key: "), _num("p_partkey"), F.lit("\n"),
@@ -182,7 +206,7 @@ def mixed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     table of one row.  The CSV block comes before the JSON line: the CSV scan
     treats everything after a line starting with ``{`` as JSON (rule E9).
     """
-    c = table(spark, sf_dir, "customer")
+    c = rows(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     csv = F.when(k % 3 == 0, F.concat(F.lit("a,b\n1,2\n3,4\n\n"))).otherwise(F.lit(""))
     html = F.when(k % 5 == 0, F.concat(F.lit("<table><tr><td>"), _num("c_custkey"), F.lit("</td></tr></table>\n")))\
@@ -213,7 +237,7 @@ def typed_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     By (l_orderkey + l_linenumber) % 5: 0 integer text, 1 decimal text, 2 'n/a'
     (null), 3 a word (string), 4 'true' (boolean).  Source = l_returnflag.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = rows(spark, sf_dir, "lineitem")
     form = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
     qty = (F.when(form == 0, F.col("l_quantity").cast("bigint").cast("string"))
            .when(form == 1, (F.col("l_quantity") + F.lit(0.5)).cast("string"))
@@ -226,7 +250,7 @@ def typed_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optional_field_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON per order with an optional field (absent when key % 3 = 0) and a
     nullable one (explicit null when key % 4 = 0).  Source = o_orderstatus."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     text = F.concat(
         F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": '), _num("o_totalprice"),
@@ -240,8 +264,7 @@ def optional_field_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON per order with a nested object, a list of line objects and a list of tags."""
-    o = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem")
+    o, li = orders_and_lines(spark, sf_dir)
     line = F.concat(F.lit('{"n": '), _num("l_linenumber"), F.lit(', "qty": '), _num("l_quantity"), F.lit("}"))
     lines = li.select("l_orderkey", "l_linenumber", line.alias("j")).groupBy("l_orderkey").agg(
         F.expr("listagg(j, ', ') within group (order by l_linenumber)").alias("lines"))
@@ -256,7 +279,7 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evolving_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON upload per order; a ``rush`` field exists from 1998 on.  Source = priority."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     text = F.concat(F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": '), _num("o_totalprice"),
                     F.when(F.year("o_orderdate") >= 1998, F.lit(', "rush": true')).otherwise(F.lit("")), F.lit("}"))
@@ -269,7 +292,7 @@ def two_batch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     Batch 2 adds ``rush``, drops ``old_code``, turns ``price`` into text and
     makes ``opt`` optional.  Column ``version`` carries the batch number.
     """
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     v2 = F.year("o_orderdate") >= 1998
     v1_text = F.concat(F.lit('{"id": '), _num("o_orderkey"), F.lit(', "price": '), _num("o_totalprice"),
@@ -284,7 +307,7 @@ def two_batch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_family_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two record families for table grouping: account blocks (even keys; every
     key % 10 = 4 lacks ``nation``) and ticket blocks (odd keys)."""
-    c = table(spark, sf_dir, "customer")
+    c = rows(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     account = F.concat(F.lit("Account\nname: "), F.col("c_name"), F.lit("\nsegment: "), F.col("c_mktsegment"),
                        F.lit("\nbalance: "), _num("c_acctbal"),
@@ -299,7 +322,7 @@ def two_family_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def varied_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON per order whose field ``v`` changes its type with ``o_orderkey % 5``: integer, number in quotes
     beyond what typing turns into one, boolean, null, absent.  ``big`` holds whole numbers that doubles can't tell apart."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     kind = F.col("o_orderkey") % 5
     v = (F.when(kind == 0, F.concat(F.lit(', "v": '), _num("o_custkey"))).when(kind == 1, F.concat(F.lit(', "v": "c'), _num("o_custkey"), F.lit('"')))
          .when(kind == 2, F.lit(', "v": true')).when(kind == 3, F.lit(', "v": null')).otherwise(F.lit("")))
@@ -310,7 +333,7 @@ def varied_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def damaged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order, damaged by ``o_orderkey % 6``: 0 sound JSON, 1 a date that doesn't exist in front
     matter, 2 JSON nested too deeply (every tenth of them, else sound), 3 unclosed tables, 4 a table nested deeply but sound, 5 broken JSON."""
-    o = table(spark, sf_dir, "orders")
+    o = rows(spark, sf_dir, "orders")
     deep = 20_000
     kind = F.col("o_orderkey") % 6
     sound = (kind == 0) | (kind == 2) & (F.col("o_orderkey") % 60 != 2)
@@ -329,7 +352,7 @@ def tree_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     `lines[].disc` misses where there is no discount, `lines[].tax` is null where it is 0, an order may have no comment. Version 2 of the
     first four priorities has `ship` (an object), no `old.code`, and text for `lines[].qty`; that of the fifth is the same as version 1.
     """
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    o, li = orders_and_lines(spark, sf_dir)
     changed = lambda day, priority: (F.year(day) >= 1998) & ~F.col(priority).startswith("5")
     li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), changed("o_orderdate", "o_orderpriority").alias("new")), "l_orderkey")
     qty = F.when(F.col("new"), F.concat(F.lit('"'), F.col("l_quantity").cast("int"), F.lit(' pcs"'))).otherwise(F.col("l_quantity").cast("int").cast("string"))
