@@ -34,13 +34,6 @@ def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return t.repartition(_tasks(spark, t))
 
 
-def orders_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders and line items, dealt by order key to as many tasks as the line items call for: what groups or joins by it stays there."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    n = _tasks(spark, li)
-    return o.repartition(n, "o_orderkey"), li.repartition(n, "l_orderkey")
-
-
 def _num(c) -> F.Column:
     return F.col(c).cast("string")
 
@@ -264,11 +257,12 @@ def optional_field_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON per order with a nested object, a list of line objects and a list of tags."""
-    o, li = orders_and_lines(spark, sf_dir)
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
     line = F.concat(F.lit('{"n": '), _num("l_linenumber"), F.lit(', "qty": '), _num("l_quantity"), F.lit("}"))
     lines = li.select("l_orderkey", "l_linenumber", line.alias("j")).groupBy("l_orderkey").agg(
         F.expr("listagg(j, ', ') within group (order by l_linenumber)").alias("lines"))
-    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
+    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").repartition(_tasks(spark, li))
     text = F.concat(
         F.lit('Export:\n{"order": {"key": '), _num("o_orderkey"), F.lit(', "status": "'), F.col("o_orderstatus"),
         F.lit('"}, "lines": ['), F.coalesce(F.col("lines"), F.lit("")), F.lit('], "tags": ["p", "'),
@@ -352,7 +346,8 @@ def tree_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     `lines[].disc` misses where there is no discount, `lines[].tax` is null where it is 0, an order may have no comment. Version 2 of the
     first four priorities has `ship` (an object), no `old.code`, and text for `lines[].qty`; that of the fifth is the same as version 1.
     """
-    o, li = orders_and_lines(spark, sf_dir)
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    many = _tasks(spark, li)
     changed = lambda day, priority: (F.year(day) >= 1998) & ~F.col(priority).startswith("5")
     li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), changed("o_orderdate", "o_orderpriority").alias("new")), "l_orderkey")
     qty = F.when(F.col("new"), F.concat(F.lit('"'), F.col("l_quantity").cast("int"), F.lit(' pcs"'))).otherwise(F.col("l_quantity").cast("int").cast("string"))
@@ -360,7 +355,7 @@ def tree_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("l_discount") > 0, F.concat(F.lit(', "disc": '), _num("l_discount"))).otherwise(F.lit("")),
                     F.lit(', "tax": '), F.when(F.col("l_tax") > 0, _num("l_tax")).otherwise(F.lit("null")), F.lit("}"))
     lines = li.select("l_orderkey", "l_linenumber", line.alias("j")).groupBy("l_orderkey").agg(F.expr("listagg(j, ', ') within group (order by l_linenumber)").alias("lines"))
-    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").withColumn("new", changed("o_orderdate", "o_orderpriority"))
+    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").repartition(many).withColumn("new", changed("o_orderdate", "o_orderpriority"))
     text = F.concat(
         F.lit('{"id": '), _num("o_orderkey"),
         F.when(F.col("o_orderkey") % 3 == 0, F.lit(', "note": "x"')).otherwise(F.lit("")),
