@@ -8,6 +8,7 @@ from sievekit.operators.extract import extract_fragments
 from sievekit.operators.grouping import assign_groups, flatten_struct, group_schemas, route, serialize_value, validate_records
 from sievekit.operators.normalize import build_records
 from sievekit.operators.profile import schema_fields
+from sievekit.operators.schema_tree import written
 from sievekit.sources import render
 
 
@@ -18,7 +19,7 @@ def _family_records(spark, sf):
 
 
 def group_tables(spark, sf):
-    grouped = assign_groups(_family_records(spark, sf), ["source_id", "version"])
+    grouped = assign_groups(written(_family_records(spark, sf)), ["source_id", "version"])
     g = group_schemas(grouped, ["source_id", "version"])
     return g.select("source_id", F.col("version").cast("int").alias("version"), "group_id", "record_count",
                     "signature", "table_name",
