@@ -65,7 +65,7 @@ from customer
 
 def flatten_serialize(spark, sf):
     """Nested order documents flattened to columns, values serialised for a table."""
-    recs = build_records(extract_fragments(render.nested_orders(spark, sf))).filter(F.col("source_type") == "json")
+    recs = written(build_records(extract_fragments(render.nested_orders(spark, sf))).filter(F.col("source_type") == "json").select("doc_id", "fields", "data"))
     rows = recs.select("doc_id", F.explode("fields").alias("f"))
     ser = rows.select("doc_id", F.col("f.name").alias("name"), serialize_value(F.col("f.token"), F.col("f.jtype")).alias("v"))
     nested = recs.select("doc_id", F.from_json("data", "struct<order:struct<key:bigint,status:string>>").alias("d"))
@@ -85,7 +85,7 @@ def validate_records_q(spark, sf):
     """Records of both batches checked against the schema of batch 1, and against that without one of its fields."""
     docs = render.two_batch_orders(spark, sf)
     keys = ("doc_id", "source_id", "version")
-    recs = build_records(extract_fragments(docs, keep_cols=keys), key_cols=keys).filter(F.col("source_type") == "json")
+    recs = written(build_records(extract_fragments(docs, keep_cols=keys), key_cols=keys).filter(F.col("source_type") == "json"))
     v1 = schema_fields(recs.filter("version = 1"), ["source_id"])
     checked = validate_records(recs, v1, ["source_id"]).withColumn("against", F.lit("batch 1"))
     fewer = validate_records(recs, v1.filter("name <> 'old_code'"), ["source_id"]).withColumn("against", F.lit("without old_code"))
