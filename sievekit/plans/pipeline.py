@@ -14,11 +14,12 @@ from sievekit.operators.extract import extract_fragments, fragment_stats
 from sievekit.operators.grouping import route
 from sievekit.operators.normalize import build_records
 from sievekit.operators.profile import schema_fields
+from sievekit.operators.schema_tree import written
 
 
 def run_pipeline(documents: DataFrame) -> DataFrame:
     """Per-source ingest summary (P2), with fragment stats merged into it."""
-    fragments = extract_fragments(documents)
+    fragments = written(extract_fragments(documents))  # three passes read them
     records = route(build_records(fragments))
     stats = fragment_stats(fragments, key_cols=("source_id",))
     docs = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"))
