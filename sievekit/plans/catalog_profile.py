@@ -200,7 +200,7 @@ from p cross join tot join s using (path) join ev using (path)
 
 def example_values_q(spark, sf):
     """First values of four fields of each priority's orders; notes are null but for every third order, nothing has no value at all."""
-    o = render.table(spark, sf, "orders")
+    o = render.rows(spark, sf, "orders")
     k = F.col("o_orderkey").cast("string")
     note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"n'), k, F.lit('"'))).otherwise(F.lit("null"))
     text = F.concat(F.lit('{"id": '), k, F.lit(', "day": "'), F.col("o_orderdate").cast("date").cast("string"), F.lit('", "note": '), note, F.lit("}"))
@@ -218,7 +218,7 @@ union all select distinct o_orderpriority, 'nothing', null, null, 0.0::double fr
 
 def source_schema_q(spark, sf):
     """Each priority's orders as objects, bare numbers, lists, plain texts and nulls, in one schema."""
-    o = render.table(spark, sf, "orders")
+    o = render.rows(spark, sf, "orders")
     k = F.col("o_orderkey").cast("string")
     form = F.col("o_orderkey") % 7
     value = (F.when(form < 3, F.concat(F.lit('{"id": '), k, F.when(form == 0, F.concat(F.lit(', "prio": "'), F.col("o_orderpriority"), F.lit('"'))).otherwise(F.lit("")), F.lit("}")))
@@ -247,13 +247,13 @@ from f join tot using (source_id)
 
 def coercion_hints(spark, sf):
     """The share of numeric-looking strings decides; four of five codes of one customer look like numbers, one of five codes of the next."""
-    o = render.table(spark, sf, "orders")
+    o = render.rows(spark, sf, "orders")
     k = F.col("o_orderkey")
     looks = F.when(F.col("o_custkey") % 2 == 0, k % 5 != 0).otherwise(k % 5 == 0)
     code = F.concat(F.when(looks, F.lit("")).otherwise(F.lit("c")), k.cast("string"))
     text = F.concat(F.lit('---\ncode: "'), code, F.lit('"\nkey: '), k.cast("string"), F.lit("\n---\nDone.\n"))  # quoted in YAML a number stays a string
     docs = o.select(k.alias("doc_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("source_id"), text.alias("text"))
-    recs = records_of(docs, "yaml_block")
+    recs = written(records_of(docs, "yaml_block").select("source_id", "ord", "paths"))
     totals = recs.groupBy("source_id").agg(F.count(F.lit(1)).alias("total_records"))
     return path_suggestions(path_stats(recs, ["source_id"]), totals, ["source_id"]).select("source_id", "path", "dominant", "coercion")
 
