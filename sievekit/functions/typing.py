@@ -37,6 +37,9 @@ ISO_DATE_STRING = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[
 
 # Python-style whitespace (str.strip / str.isspace) in Java regex terms.
 _WS = r"[\s\x1c-\x1f]"
+# Texts that begin and end with a visible ASCII character, and keys that need no cleaning once they are in lower case.
+_STRIPPED = r"(?s)^[!-~](?:.*[!-~])?\z"
+_CLEAN_KEY = r"^[a-z0-9]+(?:_[a-z0-9]+)*\z"
 # Integer literal as accepted by Python int(): sign, digits, single underscores.
 _INT_LITERAL = r"^[+-]?[0-9]+(?:_[0-9]+)*$"
 # Float literal as accepted by Python float().
@@ -53,7 +56,9 @@ def _c(x) -> Column:
 
 def py_strip(x) -> Column:
     """Python ``str.strip()`` (Unicode whitespace at both ends)."""
-    return F.regexp_replace(_c(x), rf"(?U)^{_WS}+|{_WS}+$", "")
+    v = _c(x)
+    # most texts have a visible ASCII character at both ends
+    return F.when(v.rlike(_STRIPPED), v).otherwise(F.regexp_replace(v, rf"(?U)^{_WS}+|{_WS}+$", ""))
 
 
 def json_string_token(x) -> Column:
@@ -106,6 +111,9 @@ def infer_kv_value(raw, stripped: bool = False) -> Column:
         .when(lv.isin(KV_NULL_WORDS), typed("null", F.lit("null")))
         .when(lv == "true", typed("boolean", F.lit("true")))
         .when(lv == "false", typed("boolean", F.lit("false")))
+        # a text that begins with a letter is no date and no number but these
+        .when(F.ascii(v).between(97, 122) | F.ascii(v).between(65, 90), F.when(
+            lv.isin("inf", "infinity", "nan"), typed("number", _float_token(v))).otherwise(typed("string", json_string_token(v))))
         .when(v.rlike(ISO_DATE_ONLY) | v.rlike(ISO_DATETIME_PREFIX), typed("string", json_string_token(v)))
         .when(~_contains_any(v, ".eE") & v.rlike(_INT_LITERAL), typed("integer", _int_token(v)))
         .when(v.rlike(_FLOAT_LITERAL), typed("number", _float_token(v)))
@@ -156,11 +164,11 @@ def looks_like_date_prefix(x) -> Column:
 def standardize_kv_key(x) -> Column:
     """Rule N3: lower, space/hyphen -> '_', drop other chars, collapse '_', strip '_'."""
     k = F.lower(_c(x))
-    k = F.translate(k, " -", "__")
-    k = F.regexp_replace(k, r"[^a-z0-9_]", "")
+    plain = F.translate(k, " -", "__")
+    k = F.regexp_replace(plain, r"[^a-z0-9_]", "")
     k = F.regexp_replace(k, r"_+", "_")
     k = F.regexp_replace(k, r"^_+|_+$", "")
-    return F.when(k == "", F.lit("unknown")).otherwise(k)
+    return F.when(plain.rlike(_CLEAN_KEY), plain).when(k == "", F.lit("unknown")).otherwise(k)
 
 
 def standardize_table_key(x) -> Column:

@@ -125,7 +125,8 @@ def build_records(fragments: DataFrame, key_cols=("doc_id", "source_id")) -> Dat
     exploded = fragments.select(
         *key_cols, "source_type", "type_rank", "type_first", "ordinal", "fragment_id", "offset_start",
         "offset_end", "confidence", "headers", "delimiter", "block_type", "paths",
-        F.posexplode(per_row).alias("_i", "fields"),
+        # an outer explode: for a plain one the optimizer infers a filter that types every value once more
+        F.posexplode_outer(per_row).alias("_i", "fields"),
     ).withColumn("row_index", F.when(tabular, F.col("_i")).cast("int")).drop("_i")
     records = exploded.filter(F.size("fields") > 0)
     return records.select(
