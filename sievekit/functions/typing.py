@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 KV_NULL_WORDS = ["null", "none", "nil", "-", "n/a", "na", "n.a.", "n.a"]
 # Null-like words for CSV cells.
 CSV_NULL_WORDS = ["null", "none", "n/a", "na"]
+# Characters of the longest word that isn't text ("infinity").
+_LONGEST_WORD = 8
 # Boolean words for CSV and HTML cells.
 TABLE_TRUE_WORDS = ["true", "yes", "y", "1"]
 TABLE_FALSE_WORDS = ["false", "no", "n", "0"]
@@ -42,6 +44,8 @@ _STRIPPED = r"(?s)^[!-~](?:.*[!-~])?\z"
 _CLEAN_KEY = r"^[a-z0-9]+(?:_[a-z0-9]+)*\z"
 # Integer literal as accepted by Python int(): sign, digits, single underscores.
 _INT_LITERAL = r"^[+-]?[0-9]+(?:_[0-9]+)*$"
+# Integer literal that is its own JSON token.
+_PLAIN_INT = r"^[1-9][0-9]*\z"
 # Float literal as accepted by Python float().
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _FLOAT_LITERAL = (
@@ -75,19 +79,15 @@ def typed(jtype: str | Column, token: Column) -> Column:
 
 
 def _int_token(v: Column) -> Column:
-    digits = F.regexp_replace(v, "_", "")
+    digits = F.translate(v, "_", "")
     stripped = F.regexp_replace(digits, r"^(-?)\+?0*(?=[0-9])", "$1")
-    return F.when(stripped.rlike(r"^-0$"), F.lit("0")).otherwise(stripped)
+    # most whole numbers stand in their plain form
+    return F.when(v.rlike(_PLAIN_INT), v).when(stripped == "-0", F.lit("0")).otherwise(stripped)
 
 
 def _float_token(v: Column) -> Column:
-    dbl = F.regexp_replace(v, "_", "").try_cast("double")
-    return (
-        F.when(F.isnan(dbl), F.lit('"NaN"'))
-        .when(dbl == F.lit(float("inf")), F.lit('"Infinity"'))
-        .when(dbl == F.lit(float("-inf")), F.lit('"-Infinity"'))
-        .otherwise(dbl.cast("string"))
-    )
+    number = F.translate(v, "_", "").try_cast("double").cast("string")
+    return F.regexp_replace(number, r"^(NaN|-?Infinity)$", '"$1"')
 
 
 def _contains_any(v: Column, chars: str) -> Column:
@@ -108,12 +108,13 @@ def infer_kv_value(raw, stripped: bool = False) -> Column:
     return (
         F.when(_c(raw).isNull(), typed("null", F.lit("null")))
         .when(v == "", typed("string", F.lit('""')))
-        .when(lv.isin(KV_NULL_WORDS), typed("null", F.lit("null")))
-        .when(lv == "true", typed("boolean", F.lit("true")))
-        .when(lv == "false", typed("boolean", F.lit("false")))
-        # a text that begins with a letter is no date and no number but these
+        # a text that begins with a letter is no date and no number but these; all words but '-' begin with one
         .when(F.ascii(v).between(97, 122) | F.ascii(v).between(65, 90), F.when(
-            lv.isin("inf", "infinity", "nan"), typed("number", _float_token(v))).otherwise(typed("string", json_string_token(v))))
+            F.length(v) > _LONGEST_WORD, typed("string", json_string_token(v)))
+            .when(lv.isin(KV_NULL_WORDS), typed("null", F.lit("null")))
+            .when(lv.isin("true", "false"), typed("boolean", lv))
+            .when(lv.isin("inf", "infinity", "nan"), typed("number", _float_token(v))).otherwise(typed("string", json_string_token(v))))
+        .when(v.isin(KV_NULL_WORDS), typed("null", F.lit("null")))
         .when(v.rlike(ISO_DATE_ONLY) | v.rlike(ISO_DATETIME_PREFIX), typed("string", json_string_token(v)))
         .when(~_contains_any(v, ".eE") & v.rlike(_INT_LITERAL), typed("integer", _int_token(v)))
         .when(v.rlike(_FLOAT_LITERAL), typed("number", _float_token(v)))

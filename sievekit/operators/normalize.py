@@ -29,16 +29,21 @@ FIELD_T = "array<struct<name:string,jtype:string,token:string>>"
 def dedupe_last(arr: Column, key: str = "name") -> Column:
     """Keep one entry per ``key``: the last value, at the first position (a Python dict).
 
-    One fold over the input array, so the input is evaluated once.
+    The input stands in a lambda's variable, so it is evaluated once; entries are folded only where a key occurs twice.
     """
-    return F.aggregate(
-        arr,
-        F.slice(arr, 1, 0),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda a: a[key] == e[key]),
-            F.transform(acc, lambda a: F.when(a[key] == e[key], e).otherwise(a)),
-        ).otherwise(F.array_append(acc, e)),
-    )
+    def once(entries: Column) -> Column:
+        names = F.transform(entries, lambda e: e[key])
+        folded = F.aggregate(
+            entries,
+            F.slice(entries, 1, 0),
+            lambda acc, e: F.when(
+                F.exists(acc, lambda a: a[key] == e[key]),
+                F.transform(acc, lambda a: F.when(a[key] == e[key], e).otherwise(a)),
+            ).otherwise(F.array_append(acc, e)),
+        )
+        return F.when(F.size(F.array_distinct(names)) == F.size(entries), entries).otherwise(folded)
+
+    return F.get(F.transform(F.array(arr), once), F.lit(0))
 
 
 def _field(name: Column, typed_value: Column) -> Column:
