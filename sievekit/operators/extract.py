@@ -12,6 +12,8 @@ documents are scanned a single time.
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ _FRAGMENT_T = (
 )
 
 
+#: Texts whose fragments become Arrow rows at a time.
+SCAN_CHUNK = 64
 _UDF_CACHE: dict = {}
 
 
@@ -91,7 +95,7 @@ def _scan_all(text: str) -> list[dict]:
         if fragments:
             first = min(f["start"] for f in fragments)
             for ordinal, f in enumerate(fragments, 1):
-                f |= {"type_rank": rank, "type_first": first, "ordinal": ordinal}
+                f["type_rank"], f["type_first"], f["ordinal"] = rank, first, ordinal
                 if "raw" not in f:
                     f["raw"] = text[f["start"]:f["end"]]
             out += fragments
@@ -103,7 +107,15 @@ def _scan_udf():
     arrow_type = to_arrow_type(spark_type)
 
     def scan(texts: pa.Array) -> pa.Array:
-        return pa.array([_scan_all(t) if t is not None else [] for t in texts.to_pylist()], arrow_type)
+        # fragments live until they are Arrow rows: looking for garbage among them again and again would find none
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            chunks = [texts[i : i + SCAN_CHUNK].to_pylist() for i in range(0, len(texts), SCAN_CHUNK)] or [[]]
+            return pa.concat_arrays([pa.array([_scan_all(t) if t is not None else [] for t in chunk], arrow_type) for chunk in chunks])
+        finally:
+            if running:
+                gc.enable()
 
     return F.arrow_udf(scan, spark_type)
 
